@@ -9,47 +9,83 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 END_OF_SENTENCE = (".", "!", "?")
+MARKS = ".,;:!?"
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+#: The byte alphabet: bytes that print stand for themselves, the others for characters from 256 on.
+_SAME = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_ALPHABET = {b: chr(b) for b in _SAME} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SAME)}
 
 
 class ChunkedBPE:
-    """encode(texts) gives each text's ids as bytes of little-endian unsigned 32-bit integers."""
+    """encode(texts) gives each text's ids as bytes of little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, most_chunks: int = 300_000):
+    The cache has two generations: at most_chunks the young one becomes the old one, and what is met again returns to the
+    young one, so frequent chunks stay and memory is bounded.
+    """
+
+    def __init__(self, path: str, most_chunks: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most_chunks
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s\s|^\s|\s$").search
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ("", *MARKS)}
         self.between = re.compile(r"(?<=\S) (?=\S)").split
-
-    def chunks(self, text: str) -> list[str]:
-        return self.between(text) if self.odd(text) else text.split(" ")
-
-    def learn(self, cache: dict[str, bytes], words: list[str], lead: str) -> None:
-        found = self.tokenizer.encode_batch([lead + w for w in words], add_special_tokens=False)
-        cache.update(zip(words, (np.array(e.ids, "<u4").tobytes() for e in found)))
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a token has a character for each of its bytes
+        self.token_bytes[list(vocab.values())] = list(map(len, vocab))
+
+    def word(self, word: str, tokenize) -> bytes:
+        """A word of letters with a space before it is one piece: the library's model takes it as it is."""
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_ALPHABET)
+        return array("I", [t.id for t in tokenize("\u0120" + piece)]).tobytes()
+
+    def learn(self, chunks: list[str]) -> None:
+        rest, cache, old, tokenize = [], self.cache, self.old, self.tokenizer.model.tokenize
+        for chunk in chunks:
+            if found := SIMPLE(chunk):
+                word, mark = found.groups()
+                known = cache.get(word) or old.get(word) if mark else None
+                cache[chunk] = (known or self.word(word, tokenize)) + self.marks[mark]
+            else:
+                rest.append(chunk)
+        for at in range(0, len(rest), 5000):  # many chunks as one text, its ids cut where their bytes begin
+            part = rest[at : at + 5000]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(w.encode()) + 1 for w in part]), "left") + 1
+            data, stops = ids.tobytes(), (4 * ends).tolist()
+            cache.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.chunks(t) for t in texts]
+        split = [t.split(" ") for t in texts]
+        wanted = set().union(*split)
+        if bad := {w for w in wanted.difference(self.cache) if not w or w[0].isspace() or w[-1].isspace()}:
+            split = [c if bad.isdisjoint(c) else self.between(t) for c, t in zip(split, texts)]
+            wanted = set().union(*split)
         heads = [c.pop(0) for c in split]
-        wanted: set[str] = set()
-        for c in split:
-            wanted.update(c)
         if len(self.cache) > self.most:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
+        missing = []
+        for w in wanted.difference(self.cache):
+            if (known := self.old.get(w)) is None:
+                missing.append(w)
+            else:
+                self.cache[w] = known
+        if missing:
+            self.learn(missing)
         if len(self.first) > self.most // 10:
             self.first.clear()
-        if missing := [w for w in wanted if w not in self.cache]:
-            self.learn(self.cache, missing, " ")
-        if missing := [w for w in set(heads) if w not in self.first]:
-            self.learn(self.first, missing, "")
+        if unknown := [w for w in set(heads) if w not in self.first]:
+            found = self.tokenizer.encode_batch(unknown, add_special_tokens=False)
+            self.first.update(zip(unknown, (np.array(e.ids, "<u4").tobytes() for e in found)))
         first, rest = self.first.__getitem__, self.cache.__getitem__
         return [first(h) + b"".join(map(rest, c)) for h, c in zip(heads, split)]
 

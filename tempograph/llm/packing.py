@@ -4,9 +4,9 @@ Documents keep their input order. A window holds at most `window` ids; one short
 its length is a power of two. A cut costs nothing at a document's end, a little at a sentence's end and more elsewhere.
 Over the boundaries p_0 < p_1 < ... of a segment the least cost is
 
-    cost[j] = penalty[j] + min over i of cost[i] + padding(p_j - p_i)
+    cost[j] = penalty[j] + min over i of cost[i] + each + padding(p_j - p_i)
 
-and as padding is window - (p_j - p_i), the minimum of cost[i] + p_i over the window that slides along is kept by a
+(`each`: a small cost of every window, against many short ones) and as padding is window - (p_j - p_i), the minimum of cost[i] + p_i over the window that slides along is kept by a
 monotone queue, so each boundary is pushed and popped once. A second queue serves two windows with one cut inside a
 sentence between them; the few exact powers of two are looked up. Memory is bounded: a partition is packed in segments.
 
@@ -45,14 +45,16 @@ def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int, sen
     return both[order], np.concatenate([cost, np.full(len(more), float(inside))])[order]
 
 
-def cuts(at: np.ndarray, cost: np.ndarray, window: int, inside: float) -> list[int]:
+def cuts(at: np.ndarray, cost: np.ndarray, window: int, inside: float, each: float) -> list[int]:
     """The window ends of least total cost. Equal costs: the earliest start, one window before two."""
     twos: list[list[int]] = []
+    number = np.full(int(at[-1]) + 2 * window + 1, -1, np.int32)  # of the boundary at a position, from -2 * window on
+    number[at + 2 * window] = np.arange(len(at))
     for base in (0, window):  # an exact power of two, alone or after a full window
-        found = [(np.searchsorted(at, want := at - base - (1 << k)), want) for k in range(window.bit_length() - 1)]
-        hit = [np.flatnonzero((want >= 0) & (at[np.minimum(i, len(at) - 1)] == want)) for i, want in found]
-        js = np.concatenate(hit) if hit else np.zeros(0, int)
-        sources = np.concatenate([i[h] for (i, _), h in zip(found, hit)]) if hit else js
+        found = [number[at + (2 * window - base - (1 << k))] for k in range(window.bit_length() - 1)]
+        hit = [np.flatnonzero(i >= 0) for i in found]
+        js = np.concatenate(hit)
+        sources = np.concatenate([i[h] for i, h in zip(found, hit)])
         order = np.argsort(js, kind="stable")
         twos.append([js[order].tolist() + [-1], sources[order].tolist()])
     (one_j, one_i), (two_j, two_i) = twos
@@ -61,6 +63,7 @@ def cuts(at: np.ndarray, cost: np.ndarray, window: int, inside: float) -> list[i
     best, key, back, double = [0.0] * n, [0.0] * n, [0] * n, bytearray(n)
     near, near_head, far, far_head, moved = [0], 0, [], 0, 0  # queues of boundary numbers, their keys rise
     a = b = 0
+    whole, second = window + each, inside + 2 * each
     for j in range(1, n):
         x = p[j]
         low = x - window
@@ -73,22 +76,22 @@ def cuts(at: np.ndarray, cost: np.ndarray, window: int, inside: float) -> list[i
         while p[near[near_head]] < low:
             near_head += 1
         i = near[near_head]
-        value, two = key[i] + window - x, 0
+        value, two = key[i] + whole - x, 0
         while one_j[a] == j:
-            if best[one_i[a]] < value:
+            if best[one_i[a]] + each < value:
                 i = one_i[a]
-                value = best[i]
+                value = best[i] + each
             a += 1
         while far_head < len(far) and p[far[far_head]] < low - window:
             far_head += 1
         if far_head < len(far):
-            other = key[far[far_head]] + 2 * window - x + inside
+            other = key[far[far_head]] + 2 * whole - x + inside
             if other < value:
                 i, value, two = far[far_head], other, 1
         while two_j[b] == j:
-            if best[two_i[b]] + inside < value:
+            if best[two_i[b]] + second < value:
                 i, two = two_i[b], 1
-                value = best[i] + inside
+                value = best[i] + second
             b += 1
         value += q[j]
         best[j], back[j], double[j] = value, i, two
@@ -106,11 +109,11 @@ def cuts(at: np.ndarray, cost: np.ndarray, window: int, inside: float) -> list[i
     return ends
 
 
-def with_tail_split(ends: list[int], window: int, inside: float) -> list[int]:
+def with_tail_split(ends: list[int], window: int, inside: float, each: float) -> list[int]:
     """The last window as a chain of powers of two, where that costs less than its padding."""
     start = ends[-2] if len(ends) > 1 else 0
     rest = ends[-1] - start
-    if padding(rest, window) <= inside * (rest.bit_count() - 1):
+    if padding(rest, window) <= (inside + each) * (rest.bit_count() - 1):
         return ends
     out = ends[:-1]
     for k in range(rest.bit_length() - 1, -1, -1):
@@ -120,14 +123,15 @@ def with_tail_split(ends: list[int], window: int, inside: float) -> list[int]:
     return out
 
 
-def pack_segment(doc_ids: list, ids: list[bytes], ends_sentence: np.ndarray, window: int, sentence: float, inside: float, sequence: int) -> tuple[list[tuple], int]:
+def pack_segment(doc_ids: list, ids: list[bytes], ends_sentence: np.ndarray, window: int, sentence: float, inside: float, each: float, spacing: int, sequence: int) -> tuple[list[tuple], int]:
     """Rows of SCHEMA for whole documents, and the next free sequence number."""
     stream = b"".join(ids)
     tokens = np.frombuffer(stream, "<u4")
     doc_ends = np.cumsum([len(x) // 4 for x in ids])
     inner = np.flatnonzero(ends_sentence[np.minimum(tokens, len(ends_sentence) - 1)]) + 1
+    inner = inner[np.unique(inner // spacing, return_index=True)[1]]
     at, cost = boundaries(doc_ends, inner, window, sentence, inside)
-    ends = with_tail_split(cuts(at, cost, window, inside), window, inside)
+    ends = with_tail_split(cuts(at, cost, window, inside, each), window, inside, each)
     view, rows, doc, start = memoryview(stream), [], 0, 0
     firsts, lasts = [0, *doc_ends[:-1].tolist()], doc_ends.tolist()
     for end in ends:
@@ -142,11 +146,12 @@ def pack_segment(doc_ids: list, ids: list[bytes], ends_sentence: np.ndarray, win
     return rows, sequence
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, *, window: int = 1024, end_id: int = 0, sentence_penalty: float = 2.0, inside_penalty: float = 8.0, segment_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, *, window: int = 1024, end_id: int = 0, sentence_penalty: float = 2.0, inside_penalty: float = 8.0, window_cost: float = 32.0, sentence_spacing: int = 48, segment_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: which ids of which document stand where in which sequence.
 
     Partitions are packed on their own, without a shuffle; sequence_id is unique over all of them (the partition's
     number times 2^40 plus a running number) and offsets run gapless from 0. window must be a power of two.
+    Of the sentence ends in each stretch of sentence_spacing ids the first is a boundary; documents' ends all are.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
@@ -166,7 +171,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, window: int = 10
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence, size
-            rows, sequence = pack_segment(names, held, ends_sentence, window, sentence_penalty, inside_penalty, sequence)
+            rows, sequence = pack_segment(names, held, ends_sentence, window, sentence_penalty, inside_penalty, window_cost, sentence_spacing, sequence)
             names.clear(), held.clear()
             size = 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in SCHEMA.split(", ")])
