@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempograph.llm import packing
+from tempograph.llm import exact_dedup, line_dedup, packing, pii, quality, token_output, warc
 from tempograph.llm.common import table
 
 QUERIES: dict = {}
@@ -19,3 +19,39 @@ def query(f):
 @query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.read_digests(token_output.write_blocks(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op6_line_dedup"] = line_dedup.ORACLE_SQL
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), with_payload=False).drop("url")
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op9_exact_dedup"] = exact_dedup.ORACLE_SQL
