@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempograph.llm import exact_dedup, line_dedup, packing, pii, quality, token_output, warc
+from tempograph.llm import decontamination, exact_dedup, line_dedup, lm, near_dedup, packing, pii, quality, token_output, warc
 from tempograph.llm.common import table
 
 QUERIES: dict = {}
@@ -55,3 +55,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op9_exact_dedup"] = exact_dedup.ORACLE_SQL
+
+
+@query
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
