@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(docs: DataFrame, dropped: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in dropped, whose size grows with docs: a shuffle join at every size."""
+    return docs.join(stored(dropped.select(id_col).distinct(), name).hint("merge"), id_col, "left_anti")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows, as texts may be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import ids_and_text, stored
+from tempograph.llm.common import ids_and_text, stored, without
 
 TOKEN = r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,:/]\p{N}+)*|[.!?\n]"
 NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
@@ -91,7 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_
     hits = stored(aligned.where(enough).withColumnRenamed("doc_id", "of"), "benchmark-hits")
 
     ids = hits.select("of").distinct()
-    suspects = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    suspects = texts.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
     pairs = template(suspects).select("doc_id", F.col("pairs").alias("own"))
     both = pairs.join(hits, F.col("doc_id").eqNullSafe(F.col("of"))).join(items.select("item_id", "pairs"), "item_id")
     stretch = "sequence(low, high + width - 1)"
@@ -114,5 +114,4 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **options) ->
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no item, with their columns."""
-    dropped = contaminated_documents(docs, benchmark, **options).select("doc_id")
-    return docs.join(stored(dropped, "contaminated"), "doc_id", "left_anti")
+    return without(docs, contaminated_documents(docs, benchmark, **options), "contaminated")

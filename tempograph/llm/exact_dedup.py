@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import ids_and_text, small_batches, stored
+from tempograph.llm.common import ids_and_text, small_batches, stored, without
 
 SENT = "sender long, owner int, doc_ids binary, hashes binary, n long, rice int, quotients binary, remainders binary"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -133,7 +133,7 @@ def exact_duplicates(docs: DataFrame, *, sender_docs: int = 65_536, id_col: str
     marked = stored(marked, "suspects")
 
     suspects = marked.where("suspect").select(F.col("doc_id").alias("suspect_id")).distinct()
-    suspected = texts.join(suspects, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
+    suspected = texts.join(suspects.hint("merge"), F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
     low = F.when(F.length("text") == F.octet_length("text"), F.lower("text")).otherwise(F.translate("text", CAPITALS, SMALL))
     by_bytes = suspected.select("doc_id", low.alias("low")).groupBy("low").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     by_hash = by_bytes.select(F.sha2("low", 256).alias("text_sha256"), "keep_id", "group_size")
@@ -147,8 +147,7 @@ def exact_duplicates(docs: DataFrame, *, sender_docs: int = 65_536, id_col: str
 
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with their columns."""
-    dropped = exact_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(stored(dropped, "exact-dropped"), "doc_id", "left_anti")
+    return without(docs, exact_duplicates(docs, **options).where("not kept"), "exact-dropped")
 
 
 ORACLE_SQL = """

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import ids_and_text, small_batches, stored
+from tempograph.llm.common import ids_and_text, small_batches, stored, without
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
     weights = clusters.join(reps.select(F.col("rep").alias("node"), "n"), "node")
     sizes = weights.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") * 8 / block_bytes)).alias("blocks"))
     wanted = stored(clusters.join(sizes, "component"), "clusters-sized")
-    involved = texts.join(wanted, texts["doc_id"] == wanted["node"]).select("component", F.col("doc_id").alias("rep"), "blocks", "text")
+    involved = texts.join(wanted.hint("merge"), texts["doc_id"] == wanted["node"]).select("component", F.col("doc_id").alias("rep"), "blocks", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -284,5 +284,4 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, bands:
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with their columns."""
-    dropped = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(stored(dropped, "near-dropped"), "doc_id", "left_anti")
+    return without(docs, near_duplicates(docs, **options).where("not kept"), "near-dropped")

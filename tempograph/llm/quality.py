@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import ids_and_text, small_batches, stored
+from tempograph.llm.common import ids_and_text, small_batches, stored, without
 
 STOP_WORDS = frozenset(w.encode() for w in "the of and to in a is that for it on with as was at by der die das und ist von zu mit ein eine le la les de des et en un une que el los las y por con del se".split())
 STATISTICS = (
@@ -166,5 +166,4 @@ def scored(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, most_r
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier doesn't reject, with their columns."""
-    rejected = scored(docs, labels, **options).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(stored(rejected, "rejected"), "doc_id", "left_anti")
+    return without(docs, scored(docs, labels, **options).where("predicted = 0"), "rejected")

@@ -208,7 +208,7 @@ def write_archives(pages: DataFrame, *, archive_bytes: int = 8_000_000, min_byte
     firsts = keys.groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     revisits = keys.join(firsts, ["sha", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("first")))
     revisits = stored(revisits.select(F.col("page_id").alias("of"), F.col("sha").alias("of_sha"), "first").distinct(), "revisits")
-    planned = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("sha") == F.col("of_sha")), "left")
+    planned = rows.join(revisits.hint("merge"), F.col("page_id").eqNullSafe(F.col("of")) & (F.col("sha") == F.col("of_sha")), "left")
     planned = planned.select("page_id", "url", "html", "first", F.col("of_sha").isNotNull().alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
