@@ -61,7 +61,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, text without the lines to drop (null if none stays), n_lines, n_dropped."""
     text = ids_and_text(docs, id_col, text_col)
     bitmaps = stored(dropped_lines(text, **options), "line-bitmaps").withColumnRenamed("doc_id", "of")
-    joined = text.join(bitmaps, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
+    joined = text.join(bitmaps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
     dense = "transform(sequence(0, words[size(words) - 1].word), w -> coalesce(element_at(map_from_entries(words), w), 0L))"
     split = joined.select("doc_id", F.split("text", "\n", -1).alias("lines"), F.when(F.col("words").isNotNull(), F.expr(dense)).alias("bits"))
     stay = "case when bits is null then lines else filter(lines, (x, i) -> i div 64 >= size(bits) or getbit(bits[cast(i div 64 as int)], cast(i % 64 as int)) = 0) end"
