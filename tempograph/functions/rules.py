@@ -33,7 +33,7 @@ def _atoms(rule: Column, group: int) -> Column:
 
 def relations(rule: Column) -> Column:
     """The relation names, the head first."""
-    return F.transform(_atoms(rule, 1), F.trim)
+    return F.transform(_atoms(rule, 1), lambda x: F.trim(x))
 
 
 def parsed(df: DataFrame, column: str = "rule") -> DataFrame:
@@ -84,7 +84,7 @@ def body_length(rule: Column) -> Column:
 def path_tokens(path: Column, body_only: bool = True) -> Column:
     """The relation tokens of a rule string, of its body only if it has one."""
     part = F.when(F.instr(path, "<-") > 0, F.element_at(F.split(path, "<-"), 2)).otherwise(path) if body_only else F.regexp_replace(path, "<-", "&")
-    return F.transform(F.regexp_extract_all(part, F.lit(ATOM), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(part, F.lit(ATOM), F.lit(1)), lambda x: F.trim(x))
 
 
 def path_rule(head: Column, path: Column) -> Column:

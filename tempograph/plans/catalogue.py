@@ -6,7 +6,8 @@ are the training split, before 612 validation, the rest test. A small rule set o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempograph.functions import rules as R
@@ -72,7 +73,9 @@ def train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_with_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.confidences(rule_table(spark), train(spark, sf_dir))
+    """The rule set with its measures, taken to the driver: as many rows as RULES has."""
+    rules = A.confidences(rule_table(spark), train(spark, sf_dir))
+    return spark.createDataFrame(rules.collect(), rules.schema)
 
 
 def test_queries(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
@@ -91,7 +94,8 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(C.aggregated(all_evidence(spark, sf_dir)), "score", digits=9)
+    """Kept for the plans that use it more than once; equal plans of a session share it."""
+    return rounded(C.aggregated(all_evidence(spark, sf_dir)), "score", digits=9).persist(StorageLevel.DISK_ONLY)
 
 
 def answers(q: DataFrame) -> DataFrame:
@@ -188,7 +192,7 @@ def a2_pair_max_ts(spark, sf_dir):
 _TWO = "facts as (select * from quads union all select obj, rel + 1000, sub, ts from quads)"
 
 
-@query(f"with {ORDERS} select a.sub as e0, a.ts as t0, a.obj as e1, b.ts as t1, b.obj as e2 from quads a join quads b on a.obj = b.obj and b.rel = 82 and b.ts >= a.ts where false or a.rel = 78 and a.obj = b.obj and a.sub = b.sub")
+@query(f"with {ORDERS} select a.sub as e0, a.ts as t0, a.obj as e1, b.ts as t1, b.sub as e2 from quads a join quads b on a.obj = b.obj and a.sub = b.sub and b.ts >= a.ts where a.rel = 78 and b.rel = 82")
 def j3_walk_2hop(spark, sf_dir):
     facts = Q.with_inverses(Q.quads_orders(spark, sf_dir), F.col("rel") + Q.INVERSE_OFFSET)
     return J.chain(facts, [78, 1082], constraints=[[0, 2]])
@@ -547,7 +551,7 @@ def g9_rules_from_walks(spark, sf_dir):
 
 # ---- retrieval
 
-_WORDS = "tok as (select doc_id as doc, unnest(list_filter(string_split(lower(text), ' '), x -> x <> '')) as token from documents where lang = 'fr')"
+_WORDS = "tok as (select doc_id as doc, unnest(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) as token from documents where lang = 'fr')"
 TFIDF = f"""{_WORDS}, tf as (select doc, token, count(*) as tf from tok group by all), n as (select count(distinct doc) as n from tok), idf as (select token, ln((n + 1) / (count(*) + 1)) + 1 as idf from tf, n group by token, n),
 w as (select doc, token, tf, idf, tf * idf as weight from tf join idf using (token)), norms as (select doc, sqrt(sum(weight * weight)) as norm from w group by 1)"""
 
@@ -647,7 +651,7 @@ def c6_expanded_by_sum(spark, sf_dir):
     return rounded(X.expanded_by_sum(candidate_scores(spark, sf_dir), test_queries(spark, sf_dir), Q.quads_events(spark, sf_dir), 24), "score")
 
 
-_NEAR = "nb as (select q.qid, q.ts as qts, e.ts, unnest(list_filter([case when e.sub = q.sub then e.obj end, case when e.obj = q.sub then e.sub end], x -> x is not null)) as entity from testq q join quads e on e.ts < q.ts and e.ts >= q.ts - 24 and (e.sub = q.sub or e.obj = q.sub)), near as (select qid, entity, 0.5 / (any_value(qts) - max(ts)) as r from nb group by qid, entity), nw as (select * from near union all select * from rec where qid not in (select qid from near))"
+_NEAR = "nb as (select q.qid, q.ts as qts, e.ts, unnest(list_filter([case when e.sub = q.sub then e.obj end, case when e.obj = q.sub then e.sub end], lambda x: x is not null)) as entity from testq q join quads e on e.ts < q.ts and e.ts >= q.ts - 24 and (e.sub = q.sub or e.obj = q.sub)), near as (select qid, entity, 0.5 / (any_value(qts) - max(ts)) as r from nb group by qid, entity), nw as (select * from near union all select * from rec where qid not in (select qid from near))"
 
 
 @query(f"with {CANDS}, {RECENT}, {_NEAR} select qid, entity, round(coalesce(c.score, nw.r), 6) as score from cands c full join nw using (qid, entity)")

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as e
 from tempograph.plans import catalogue
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ORACLES = sorted(catalogue.ORACLE_SQL)
 
 
