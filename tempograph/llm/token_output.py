@@ -51,8 +51,8 @@ def grammar(ids: np.ndarray, first: int, rounds: int, most_rules: int, least: in
         same = (a[at] == a) & (b[at] == b)
         count = np.bincount(slot[same], minlength=1 << BITS)
         room = min(most_rules, (1 << 24) - free)
-        chosen = np.argsort(-count, kind="stable")[:room]
-        chosen = chosen[count[chosen] >= least]
+        frequent = np.flatnonzero(count >= least)
+        chosen = frequent[np.argsort(-count[frequent], kind="stable")[:room]]
         if not len(chosen):
             break
         rule_of = np.full(1 << BITS, -1, np.int32)
