@@ -568,12 +568,12 @@ def a16_tfidf(spark, sf_dir):
 
 def _similar(spark, sf_dir) -> DataFrame:
     index = M.tfidf(tokens(spark, sf_dir))
-    q = tokens(spark, sf_dir).where("doc % 50 = 0").select(F.col("doc").alias("query"), "token")
+    q = tokens(spark, sf_dir).where("doc % 10 = 0").select(F.col("doc").alias("query"), "token")
     sims = M.cosine(M.query_vectors(q, index), index)
     return rounded(sims.where("query <> doc"), "sim", digits=9)
 
 
-_SIMS = f"{TFIDF}, sims as (select a.doc as query, b.doc, round(sum(a.weight * b.weight) / (any_value(na.norm) * any_value(nb.norm)), 9) as sim from w a join w b on a.token = b.token and a.doc % 50 = 0 and a.doc <> b.doc join norms na on na.doc = a.doc join norms nb on nb.doc = b.doc group by all)"
+_SIMS = f"{TFIDF}, sims as (select a.doc as query, b.doc, round(sum(a.weight * b.weight) / (any_value(na.norm) * any_value(nb.norm)), 9) as sim from w a join w b on a.token = b.token and a.doc % 10 = 0 and a.doc <> b.doc join norms na on na.doc = a.doc join norms nb on nb.doc = b.doc group by all)"
 
 
 @query(f"with {_SIMS}, o as (select query, doc, sim, row_number() over (partition by query order by sim desc, doc) as place from sims) select query, doc, round(sim, 6) as sim, place from o where place <= 5")
