@@ -7,18 +7,20 @@ the slots of the matched stretch are compared: every value of the benchmark must
 (5 -> 7 wherever 5 stands), else the stretch only looks alike.
 
 A document is contaminated by an item if, on one alignment, windows cover at least min_share of the item's windows or
-long_run tokens, and at least min_consistent of the slot values correspond. The benchmark is joined by broadcast only if its
+long_run tokens, and at least min_consistent of the slot values correspond. Windows of lower-cased words are joined the same
+way, so a word-by-word copy is found whatever its numbers and names. The benchmark is joined by broadcast only if its
 stored windows are below Spark's threshold; beyond it the windows are shuffled. An item shorter than a window is a window
 of its own length.
 
-Cases: null, empty and word-less texts and items match nothing; windows with fewer than half their tokens literal don't count;
+Cases: null, empty and word-less texts and items match nothing; template windows with fewer than half their tokens literal are no join
+keys, but count beside one that is;
 equal doc_ids get the items of all their rows that hold them; a null doc_id is treated as an id; empty tables give no rows;
 other columns are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempograph.llm.common import ids_and_text, stored, without
@@ -28,6 +30,7 @@ NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirt
 UNITS = "mm cm m km in inch inches ft feet foot yd yard yards mile miles mg g kg gram grams lb lbs pound pounds oz ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kmh percent degrees dollar dollars cent cents euro euros usd eur".split()
 NUMBER, NAME, UNIT = "\x01n", "\x01p", "\x01u"
 MARKS = "x = '.' or x = '!' or x = '?' or x = '\\n'"
+WORDS = f"transform(filter(tokens, x -> not ({MARKS})), x -> lower(x))"
 
 
 def words_sql(words: list[str]) -> str:
@@ -53,62 +56,66 @@ def with_tokens(df: DataFrame) -> DataFrame:
 
 
 def template(df: DataFrame) -> DataFrame:
-    """df with pairs: array<struct<t: template token, r: lower-cased token>>."""
+    """df with pairs: array<struct<t: template token, r: lower-cased token>>, and words: the lower-cased tokens."""
     pairs = f"filter(transform(tokens, (x, i) -> named_struct('t', {typed('tokens')}, 'r', lower(x))), p -> p.t is not null)"
-    return with_tokens(df).withColumn("pairs", F.expr(pairs)).drop("tokens")
+    return with_tokens(df).withColumn("pairs", F.expr(pairs)).withColumn("words", F.expr(WORDS)).drop("tokens")
 
 
-def window_hash(codes: str, size: int) -> str:
-    return "xxhash64(" + ", ".join(f"get({codes}, i + {k})" for k in range(size)) + ")"
-
-
-def windows(codes: str, size: int) -> Column:
-    return F.expr(f"case when size({codes}) >= {size} then transform(sequence(0, size({codes}) - {size}), i -> {window_hash(codes, size)}) end")
+def windows(codes: str, size: int) -> str:
+    return f"case when size({codes}) >= {size} then transform(sequence(0, size({codes}) - {size}), i -> xxhash64(slice({codes}, i + 1, {size}))) else cast(array() as array<bigint>) end"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_share: float = 0.5, long_run: int = 20, min_consistent: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and item that it holds: doc_id, item_id, windows, item_windows, slots, changed."""
+    """One row per document and item that it holds: doc_id, item_id, windows, item_windows, slots, changed (null: word by word)."""
     texts = ids_and_text(docs, id_col, text_col)
     items = template(benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text"))
-    items = items.select("item_id", "pairs", F.expr("transform(pairs, p -> xxhash64(p.t))").alias("codes"), F.least(F.lit(window), F.size("pairs")).alias("width"))
-    items = stored(items.where("width > 0"), "benchmark-templates")
+    items = items.select("item_id", F.explode(F.expr("array(named_struct('exact', false, 'pairs', pairs), named_struct('exact', true, 'pairs', transform(words, w -> named_struct('t', w, 'r', w))))")).alias("s")).select("item_id", "s.*")
+    items = items.withColumn("codes", F.expr("transform(pairs, p -> xxhash64(p.t))")).withColumn("width", F.least(F.lit(window), F.size("pairs"))).where("width > 0")
+    literal = f"k -> size(filter(slice(pairs, k + 1, width), p -> p.t not in ('{NUMBER}', '{NAME}', '{UNIT}'))) * 2 >= width"
+    items = items.withColumn("keys", F.expr(f"filter(sequence(0, size(pairs) - width), {literal})"))
+    items = items.withColumn("item_windows", F.expr("cast(size(pairs) - width + 1 as long)"))
+    items = stored(items, "benchmark-templates")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most `window` numbers
 
-    coded = with_tokens(texts).select("doc_id", F.expr(f"filter(transform(tokens, (x, i) -> xxhash64({typed('tokens')})), c -> c <> xxhash64(cast(null as string)))").alias("codes"))
+    codes = f"filter(transform(tokens, (x, i) -> xxhash64({typed('tokens')})), c -> c <> xxhash64(cast(null as string)))"
+    coded = with_tokens(texts).select("doc_id", F.expr(codes).alias("codes"), F.expr(f"transform({WORDS}, w -> xxhash64(w))").alias("words"))
     matches = None
     for width in widths:
         own = items.where(F.col("width") == width)
-        literal = f"size(filter(slice(pairs, bpos + 1, {width}), p -> p.t not in ('{NUMBER}', '{NAME}', '{UNIT}'))) * 2 >= {width}"
-        keys = own.select("item_id", "pairs", F.posexplode(windows("codes", width)).alias("bpos", "h")).where(literal).select("item_id", "bpos", "h")
-        found = coded.select("doc_id", F.posexplode(windows("codes", width)).alias("pos", "h")).join(stored(keys, f"benchmark-windows-{width}"), "h")
-        found = found.select("doc_id", "item_id", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"))
+        keys = own.select("item_id", "exact", "keys", F.posexplode(F.expr(windows("codes", width))).alias("bpos", "h")).where("array_contains(keys, bpos)").drop("keys")
+        both = F.expr(f"concat({windows('codes', width)}, {windows('words', width)})")
+        found = coded.select("doc_id", F.greatest(F.lit(0), F.size("codes") - width + 1).alias("typed"), F.posexplode(both).alias("pos", "h")).join(stored(keys, f"benchmark-windows-{width}"), "h")
+        found = found.where("exact = (pos >= typed)").select("doc_id", "item_id", "exact", "bpos", F.expr("pos - if(exact, typed, 0) - bpos").alias("shift"))
         matches = found if matches is None else matches.unionByName(found)
     if matches is None:
         return texts.sparkSession.createDataFrame([], "doc_id long, item_id long, windows long, item_windows long, slots int, changed int")
-    aligned = matches.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("bpos").alias("windows"), F.min("bpos").alias("low"), F.max("bpos").alias("high"))
-    aligned = aligned.join(items.select("item_id", "width", (F.size("pairs") - F.col("width") + 1).cast("long").alias("item_windows")), "item_id")
-    enough = (F.col("windows") >= F.col("item_windows") * min_share) | (F.col("windows") + F.col("width") - 1 >= long_run)
-    hits = stored(aligned.where(enough).withColumnRenamed("doc_id", "of"), "benchmark-hits")
+    aligned = matches.groupBy("doc_id", "item_id", "exact", "shift").agg(F.countDistinct("bpos").alias("windows"))
+    aligned = aligned.join(items.select("item_id", "exact", "width", "item_windows", (F.col("item_windows") - F.size("keys")).alias("others")), ["item_id", "exact"])
+    enough = "({0} >= item_windows * {1} or {0} + width - 1 >= {2})"
+    possible = aligned.where(enough.format("(windows + others)", min_share, long_run))
+    hits = stored(possible.select(F.col("doc_id").alias("of"), "item_id", "exact", "shift"), "benchmark-hits")
 
     ids = hits.select("of").distinct()
     suspects = texts.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
-    pairs = template(suspects).select("doc_id", F.col("pairs").alias("own"))
-    both = pairs.join(hits, F.col("doc_id").eqNullSafe(F.col("of"))).join(items.select("item_id", "pairs"), "item_id")
-    stretch = "sequence(low, high + width - 1)"
-    equal = f"size(filter({stretch}, j -> get(pairs, j).t <=> get(own, j + shift).t))"
+    own = template(suspects).select("doc_id", F.col("pairs").alias("typed"), "words")
+    both = own.join(hits, F.col("doc_id").eqNullSafe(F.col("of"))).join(items.select("item_id", "exact", "pairs", "width", "item_windows"), ["item_id", "exact"])
+    both = both.withColumn("own", F.expr("if(exact, transform(words, w -> named_struct('t', w, 'r', w)), typed)"))
+    same = "forall(sequence(k, k + width - 1), j -> get(pairs, j).t <=> get(own, j + shift).t)"
+    both = both.withColumn("covered", F.expr(f"filter(sequence(0, size(pairs) - width), k -> {same})")).withColumn("windows", F.expr("cast(size(covered) as long)"))
+    stretch = "array_distinct(flatten(transform(covered, k -> sequence(k, k + width - 1))))"
     slot = f"filter({stretch}, j -> get(pairs, j).t in ('{NUMBER}', '{NAME}', '{UNIT}'))"
     values = f"array_distinct(transform({slot}, j -> named_struct('t', get(pairs, j).t, 'b', get(pairs, j).r, 'd', get(own, j + shift).r)))"
-    checked = both.withColumn("equal", F.expr(equal)).where("equal * 5 >= (high + width - low) * 4").withColumn("map", F.expr(values))
+    checked = both.where("windows > 0 and " + enough.format("windows", min_share, long_run)).withColumn("map", F.expr(values))
     slots = F.expr("size(array_distinct(transform(map, m -> named_struct('t', m.t, 'b', m.b))))")
     checked = checked.withColumn("slots", slots).where(F.col("slots") >= F.size("map") * min_consistent)
-    changed = F.expr("size(filter(map, m -> not (m.b <=> m.d)))")
+    changed = F.expr("if(exact, null, size(filter(map, m -> not (m.b <=> m.d))))")
     return checked.select("doc_id", "item_id", "windows", "item_windows", "slots", changed.alias("changed"))
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per contaminated document: doc_id, item_ids (ascending), n_items, reparameterised (a slot's value differs)."""
     found = contaminated(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(F.min("changed").alias("changed"))
-    out = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max(F.col("changed") > 0).alias("reparameterised"))
+    out = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max(F.coalesce(F.col("changed"), F.lit(0)) > 0).alias("reparameterised"))
     return out.select("doc_id", "item_ids", F.size("item_ids").cast("long").alias("n_items"), "reparameterised")
 
 

@@ -70,3 +70,17 @@ def test_tables(spark):
     want = brute([(x.doc_id, x.text or "") for x in docs.collect()], [(x.item_id, x.text) for x in bench.collect()])
     got = {x.doc_id: x.item_ids for x in d.contaminated_documents(docs, bench).collect()}
     assert got == {i: v for i, v in want.items() if v} and got
+
+
+def found(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {x.doc_id: x.item_ids for x in d.contaminated_documents(docs, bench).collect()}
+
+
+def test_copies_dense_in_numbers_and_names(spark):
+    items = ["Compute 12 + 45 * 7 - 3 / 9 modulo 11", "Who wrote this novel: Jane Austen, Emily Bronte, Mark Twain, Charles Dickens or Leo Tolstoy?", "12 13 14 15 16 17 18 19 20 21 22 23"]
+    around = "wood and lake. {} Moon and grass."
+    assert found(spark, items, [around.format(x) for x in items] + [around.format("30 31 32 33 34 35 36 37 38 39 40")]) == {0: [0], 1: [1], 2: [2]}
+    others = "Who wrote this novel: Ann Brown, Carl Dean, Ed Fox, Gus Hill or Ian Jones?"
+    assert found(spark, items, [others]) == {0: [1]}
