@@ -123,13 +123,12 @@ def with_tail_split(ends: list[int], window: int, inside: float, each: float) ->
     return out
 
 
-def pack_segment(doc_ids: list, ids: list[bytes], ends_sentence: np.ndarray, window: int, sentence: float, inside: float, each: float, spacing: int, sequence: int) -> tuple[list[tuple], int]:
+def pack_segment(doc_ids: list, ids: list[bytes], ends_sentence: np.ndarray, window: int, sentence: float, inside: float, each: float, sequence: int) -> tuple[list[tuple], int]:
     """Rows of SCHEMA for whole documents, and the next free sequence number."""
     stream = b"".join(ids)
     tokens = np.frombuffer(stream, "<u4")
     doc_ends = np.cumsum([len(x) // 4 for x in ids])
     inner = np.flatnonzero(ends_sentence[np.minimum(tokens, len(ends_sentence) - 1)]) + 1
-    inner = inner[np.unique(inner // spacing, return_index=True)[1]]
     at, cost = boundaries(doc_ends, inner, window, sentence, inside)
     ends = with_tail_split(cuts(at, cost, window, inside, each), window, inside, each)
     view, rows, doc, start = memoryview(stream), [], 0, 0
@@ -146,12 +145,12 @@ def pack_segment(doc_ids: list, ids: list[bytes], ends_sentence: np.ndarray, win
     return rows, sequence
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, *, window: int = 1024, end_id: int = 0, sentence_penalty: float = 2.0, inside_penalty: float = 8.0, window_cost: float = 32.0, sentence_spacing: int = 48, segment_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, *, window: int = 1024, end_id: int = 0, sentence_penalty: float = 2.0, inside_penalty: float = 8.0, window_cost: float = 32.0, segment_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: which ids of which document stand where in which sequence.
 
     Partitions are packed on their own, without a shuffle; sequence_id is unique over all of them (the partition's
     number times 2^40 plus a running number) and offsets run gapless from 0. window must be a power of two.
-    Of the sentence ends in each stretch of sentence_spacing ids the first is a boundary; documents' ends all are.
+    Every sentence's and every document's end is a boundary.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
@@ -171,7 +170,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, window: int = 10
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence, size
-            rows, sequence = pack_segment(names, held, ends_sentence, window, sentence_penalty, inside_penalty, window_cost, sentence_spacing, sequence)
+            rows, sequence = pack_segment(names, held, ends_sentence, window, sentence_penalty, inside_penalty, window_cost, sequence)
             names.clear(), held.clear()
             size = 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in SCHEMA.split(", ")])

@@ -88,3 +88,13 @@ def test_small_segments(spark):
     texts = {i: "some words. " * (i % 7) for i in range(50)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     check(packing.pack(df, segment_tokens=100, window=64).collect(), texts, 64)
+
+
+def test_every_sentence_end_is_a_boundary(monkeypatch):
+    seen = []
+    real = packing.boundaries
+    monkeypatch.setattr(packing, "boundaries", lambda docs, inner, *rest: seen.append(inner.tolist()) or real(docs, inner, *rest))
+    flags = np.array([False, False, True])  # id 2 ends a sentence
+    ids = np.tile([1, 1, 2], 40).astype("<u4")
+    packing.pack_segment([7], [ids.tobytes()], flags, 64, 2.0, 8.0, 32.0, sequence=0)
+    assert seen == [list(range(3, 121, 3))]
