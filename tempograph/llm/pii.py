@@ -95,7 +95,7 @@ NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}")
-ADDRESS = re.compile(r"(?<!\S)[0-9]{1,5} (?:[^\W\d_]+ ){1,3}([^\W\d_]+)")
+ADDRESS = re.compile(r"(?<!\S)[0-9]{1,5}((?: [^\W\d_]+){2,4})")
 DISGUISED = re.compile(r"[\[(] ?at ?[\])]", re.I)
 DISGUISED_LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?$")
 DISGUISED_RIGHT = re.compile(r" ?[A-Za-z0-9-]+(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+", re.I)
@@ -139,8 +139,10 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
                     if m.start() <= end and m.end() > start:
                         found.append((kind, *m.span()))
         for start, end in tokens:
-            if end - start <= 5 and (m := ADDRESS.match(text, start)) and m[1].lower() in STREETS:
-                found.append(("address", *m.span()))
+            if end - start <= 5 and (m := ADDRESS.match(text, start)):
+                ends = [w.end() for w in list(WORD.finditer(text, m.start(1), m.end()))[1:] if w.group().lower() in STREETS]
+                if ends:
+                    found.append(("address", start, ends[-1]))
     found += [("name", *m.span(1)) for m in TITLED.finditer(text)] + [("name", *m.span()) for m in NAMED.finditer(text)]
     out: list[tuple[str, int, int, str]] = []
     if not found:

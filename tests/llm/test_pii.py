@@ -50,3 +50,8 @@ def test_estimation_finds_the_reliable_labelers():
     got = p.estimate(counts)
     assert got["secret|++0++00|2|1"] > 0.9 > 0.2 > got["secret|-000000|1|0"]
     assert p.estimate({}) == {} and p.classifier({}, {}) == {}
+
+
+@pytest.mark.parametrize("text, want", [("12 Main Street in Springfield", "12 Main Street"), ("lives at 40 Oak Avenue and works", "40 Oak Avenue"), ("at 7 Old Mill Road.", "7 Old Mill Road"), ("in 12 Court Main Street we", "12 Court Main Street"), ("5 apples and pears there", None)])
+def test_addresses_in_prose(text, want):
+    assert [text[s:e] for kind, s, e, _ in p.candidates(text, []) if kind == "address"] == ([want] if want else [])
