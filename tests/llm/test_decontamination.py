@@ -38,12 +38,32 @@ def test_found_and_left_alone(spark, bench):
     }
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in docs.items()], "doc_id long, text string, windows int, of string").repartition(3)
     got = {x.doc_id: (x.item_ids, x.reparameterised) for x in d.contaminated_documents(df, bench).collect()}
-    assert got == {1: ([1], False), 2: ([1], True), 3: ([1], False), 4: ([1, 2], False), 12: ([2], False), 10: ([3], False)}
+    assert got == {1: ([1], False), 2: ([1], True), 3: ([1], False), 4: ([1, 2], False), 9: ([5], False), 12: ([2], False), 10: ([3], False)}
     kept = d.decontaminated(df, bench)
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == set(docs) - set(got)
     assert d.contaminated_documents(df.limit(0), bench).collect() == [] == d.contaminated_documents(df, bench.limit(0)).collect()
 
 
+def test_changed_names_and_numbers_wherever_they_stand(spark):
+    items = [
+        (1, "Anna has 12 red pens. Tom has 5 blue pens. Ben buys 3 more pens. How many pens do they have now?"),
+        (2, "What is the largest planet known today"),
+        (3, "The road from Paris to Rome takes twenty hours by car, and 3 days on foot if one walks at night."),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = {
+        1: "Some words before. Eva has 7 red pens. Karl has 25 blue pens. Mia buys 4 more pens. How many pens do they have now? And words after.",
+        2: "Question: What is the largest planet known today? Nobody said.",
+        3: "question: what is the largest planet known today? nobody said.",
+        4: "He wrote: The road from New York to San Jose takes twenty-six hours by car, and 12 days on foot if one walks at night.",
+        5: "Eva has a pen. Karl has a pen. The road is long and takes days on foot if it is night, and today she walks on.",
+        6: "Eva has 7 red pens. Karl has 7 blue pens. " * 2000,
+    }
+    df = spark.createDataFrame([*docs.items(), (1, docs[1]), (None, docs[2])], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.item_ids, x.reparameterised) for x in d.contaminated_documents(df, bench).collect()}
+    assert got == {1: ([1], True), 2: ([2], False), 3: ([2], False), 4: ([3], True), None: ([2], False)}
+
+
 def test_inconsistent_slots_are_no_match(spark):
     bench = spark.createDataFrame([(1, "take 5 red and 5 blue and 5 green and 5 black balls from the box")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "take 7 red and 7 blue and 7 green and 7 black balls from the box"), (2, "take 7 red and 8 blue and 9 green and 4 black balls from the box")], "doc_id long, text string")
@@ -53,7 +73,7 @@ def test_inconsistent_slots_are_no_match(spark):
 def test_units_and_names(spark):
     df = spark.createDataFrame([("We saw Carl. He ran 5 km and three miles, m of it.",)], "text string")
     t = [p.t for p in d.template(df).first().pairs]
-    assert t == ["we", "saw", d.NAME, "he", "ran", d.NUMBER, d.UNIT, "and", d.NUMBER, d.UNIT, "m", "of", "it"]
+    assert t == [d.NAME, "saw", d.NAME, "ran", d.NUMBER, d.UNIT, "and", d.NUMBER, d.UNIT, "m", "of", "it"]
 
 
 def brute(texts, items):
