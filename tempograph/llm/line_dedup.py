@@ -10,12 +10,14 @@ sample of the hashes are spread by document over `salts` ranges, each range give
 these (salts x hot hashes, both bounded, broadcast) is the first. Which hashes are salted changes no result.
 
 Cases: a null or empty text is one empty line; equal doc_ids count as one document and get the bits of both; a null doc_id
-counts as one document that comes before all others; an empty table gives no rows; other columns are left out.
+counts as one document that comes before all others; repeated rows are one document, so its lines are dropped only for another
+document's; a very long text is one row of lines, a bitmap holds 64 of them to a word; ties don't occur, as the smallest doc_id
+decides; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempograph.llm.common import ids_and_text, stored
@@ -31,11 +33,17 @@ def line_keys(text: DataFrame) -> DataFrame:
     return lines.select("doc_id", "pos", F.btrim("line", F.lit(SPACES)).alias("key"))
 
 
+def key_hash(column: str) -> list[Column]:
+    """h and h2, 64 bits each. A hash of several columns goes on from the last one's, so the number that tells the two apart
+    must stand first: h2 is then the column's hash from another seed, and not a function of h."""
+    return [F.xxhash64(column).alias("h"), F.xxhash64(F.lit(1), F.col(column)).alias("h2")]
+
+
 def dropped_lines(docs: DataFrame, *, min_chars: int = 10, salts: int = 64, sample_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and words: array<struct<word, bits>>, one row for each document that loses lines."""
     spark = docs.sparkSession
     keys = line_keys(ids_and_text(docs, id_col, text_col)).where(F.length("key") >= min_chars)
-    hashes = stored(keys.select(F.xxhash64("key").alias("h"), F.xxhash64("key", F.lit(1)).alias("h2"), "doc_id", "pos"), "line-hashes")
+    hashes = stored(keys.select(*key_hash("key"), "doc_id", "pos"), "line-hashes")
 
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = hashes.count()

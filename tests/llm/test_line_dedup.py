@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tempograph.llm import line_dedup as l
 
@@ -39,3 +40,16 @@ def test_against_brute_force(spark, sample_rows):
 def test_null_id(spark):
     df = spark.createDataFrame([(None, "one long line"), (3, "one long line\nx")], "doc_id long, text string")
     assert {x.doc_id: x.n_dropped for x in l.digests(df).collect()} == {None: 0, 3: 1}
+
+
+def test_the_second_hash_is_no_function_of_the_first(spark):
+    df = spark.createDataFrame([(f"line {i}",) for i in range(50)], "key string")
+    rows = df.select(*l.key_hash("key"), F.xxhash64(F.lit(1), F.lit("x")).alias("other"), F.xxhash64("key", F.lit(1)).alias("chained")).collect()
+    assert len({r.h2 for r in rows}) == 50 and all(r.h2 not in (r.h, r.chained, r.other) for r in rows)
+
+
+def test_long_texts_and_repeated_rows(spark):
+    text = "\n".join(f"line number {i}" for i in range(5000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nits own long line"), (3, "once more\n" * 2), (3, "once more\n" * 2)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped) for r in l.deduplicated(df).collect())
+    assert got == [(1, 5000, 0), (2, 5001, 5000), (3, 3, 0), (3, 3, 0)]
