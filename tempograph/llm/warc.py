@@ -1,15 +1,18 @@
 """WARC records in ZIP-packaged archives, read by ranges and never extracted.
 
 An archive is a ZIP file with two stored members: archive/data.warc, the records one after another, and
-indexes/index.cdx, one line "record-id offset length" per record. The reader finds the end-of-central-directory record
-(and through its locator the ZIP64 one), parses the central directory with its ZIP64 extra fields, turns a member into an
-absolute range by its local header, and reads single records by the index. It needs a source with size and read(offset, n).
+indexes/index.cdx, one line "record-id offset length" per record. Tasks write archives as files into the shared folder, each
+under a name of its own, and the table of the paths names those of the attempts that succeeded. The reader opens a file where
+it lies, finds the end-of-central-directory record (and through its locator the ZIP64 one), parses the central directory with
+its ZIP64 extra fields, turns a member into an absolute range by its local header, and reads records by the index, neighbours
+in one range of at most span bytes (a longer record is a range of its own). It needs a source with size and read(offset, n);
+no file is read or extracted whole.
 
 Payloads are equal when their SHA-1 and length are. Of records with equal payloads (of min_bytes at least) the one with the
 smallest page_id is the response; the others are revisit records that refer to it and carry no payload.
 
-Cases: a null html counts as empty; a null url has no target header; rows with equal page_id and payload are all responses;
-a null page_id never comes before another; an empty table makes no archives; other columns are left out.
+Cases: a very long payload is a record of its own length, held once in memory; a null html counts as empty; a null url has no
+target header; rows with equal page_id and payload are all alike, responses or revisits; a null page_id never comes before another; an empty table makes no archives; other columns are left out.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import itertools
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -27,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import small_batches, stored
+from tempograph.llm.common import new_path, opened, small_batches, stored
 
 DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ARCHIVE_SCHEMA = "records long, content binary"
+ARCHIVE_SCHEMA = "path string, records long, bytes long"
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -46,15 +50,20 @@ class Bytes:
 
 
 class File:
-    """A source over a file that can seek."""
+    """A source over a file in any store that Arrow opens, by ranges; counts the bytes that it has read."""
 
     def __init__(self, path: str):
-        self.handle = open(path, "rb")  # noqa: SIM115
-        self.size = self.handle.seek(0, io.SEEK_END)
+        system, at = opened(path)
+        self.handle = system.open_input_file(at)
+        self.size, self.bytes_read = self.handle.size(), 0
 
     def read(self, offset: int, n: int) -> bytes:
-        self.handle.seek(offset)
-        return self.handle.read(n)
+        data = self.handle.read_at(n, offset)
+        self.bytes_read += len(data)
+        return data
+
+    def close(self) -> None:
+        self.handle.close()
 
 
 @dataclass
@@ -187,20 +196,30 @@ def archive(records: list[tuple[int | None, bytes]]) -> bytes:
     return out.getvalue()
 
 
-def records_of(source) -> Iterator[tuple]:
-    """Rows of RECORD_SCHEMA, one range read for each line of the index."""
+def records_of(source, span: int = 1_000_000) -> Iterator[tuple]:
+    """Rows of RECORD_SCHEMA, in the order of the index."""
     z = ZipIndex(source)
     start, size = z.start_of(DATA), z.members[DATA].size
-    for line in z.read(INDEX, 0, z.members[INDEX].size).decode().splitlines():
-        _, offset, n = line.rsplit(" ", 2)
-        if int(offset) + int(n) > size:
-            raise ValueError("the index points outside the member")
-        yield parse(source.read(start + int(offset), int(n)))
+    lines = [line.rsplit(" ", 2)[1:] for line in z.read(INDEX, 0, z.members[INDEX].size).decode().splitlines()]
+    ranges = [(int(offset), int(n)) for offset, n in lines]
+    if any(offset < 0 or n < 0 or offset + n > size for offset, n in ranges):
+        raise ValueError("the index points outside the member")
+    at = 0
+    while at < len(ranges):
+        begin = ranges[at][0]
+        stop, end = at + 1, sum(ranges[at])
+        while stop < len(ranges) and ranges[stop][0] == end and end + ranges[stop][1] - begin <= span:
+            end, stop = end + ranges[stop][1], stop + 1
+        data = memoryview(source.read(start + begin, end - begin))
+        for offset, n in ranges[at:stop]:
+            yield parse(bytes(data[offset - begin : offset - begin + n]))
+        at = stop
 
 
 def write_archives(pages: DataFrame, *, archive_bytes: int = 8_000_000, min_bytes: int = 0) -> DataFrame:
-    """Writes the archives into the shared folder, a row each, and returns that table."""
+    """Writes archives as files into the shared folder and returns their table: path, records, bytes."""
     spark = pages.sparkSession
+    folder = new_path(spark, "warc")
     small_batches(spark, 500)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
@@ -212,12 +231,21 @@ def write_archives(pages: DataFrame, *, archive_bytes: int = 8_000_000, min_byte
     planned = planned.select("page_id", "url", "html", "first", F.col("of_sha").isNotNull().alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, root = opened(folder)
+        system.create_dir(root, recursive=True)
+        task = TaskContext.get()
         held: list[tuple[int | None, bytes]] = []
-        size = 0
+        size, numbers = 0, itertools.count()
 
         def flush() -> pa.RecordBatch:
             nonlocal size
-            out = pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([archive(held)], pa.binary())], names=["records", "content"])
+            name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{next(numbers):04d}.zip"
+            content = archive(held)
+            with system.open_output_stream(f"{root}/{name}") as f:
+                f.write(content)
+            out = pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(held)], pa.int64()), pa.array([len(content)], pa.int64())], names=["path", "records", "bytes"])
             held.clear()
             size = 0
             return out
@@ -234,27 +262,23 @@ def write_archives(pages: DataFrame, *, archive_bytes: int = 8_000_000, min_byte
     return stored(planned.mapInArrow(run, ARCHIVE_SCHEMA), "warc-archives")
 
 
-def read_archives(archives: DataFrame, *, with_payload: bool = True) -> DataFrame:
-    """A row per record; archives has the files' bytes in its column content."""
-    small_batches(archives.sparkSession, 4)
+def read_archives(archives: DataFrame, *, with_payload: bool = True, rows: int = 500) -> DataFrame:
+    """A row per record of the archives that the column path names."""
     fields = [x.split() for x in RECORD_SCHEMA.split(", ")][: None if with_payload else -1]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                held = []
-                for row in records_of(Bytes(content)):
-                    held.append(row)
-                    if len(held) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*held), fields)], names=[n for n, _ in fields])
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*held), fields)], names=[n for n, _ in fields])
+        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+            source = File(path)
+            found = records_of(source)
+            while held := list(itertools.islice(found, rows)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*held), fields)], names=[n for n, _ in fields])
+            source.close()
 
-    return archives.select("content").mapInArrow(run, ", ".join(" ".join(x) for x in fields))
+    tasks = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("path").repartition(tasks, "path").mapInArrow(run, ", ".join(" ".join(x) for x in fields))
 
 
 def read_files(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The records of ZIP files in any store that Spark reads."""
-    return read_archives(spark.read.format("binaryFile").load(path), **options)
+    """The records of the ZIP files in a folder; Spark lists them, their bytes are only read by ranges."""
+    return read_archives(spark.read.format("binaryFile").load(path).select("path"), **options)

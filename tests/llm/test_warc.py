@@ -51,12 +51,32 @@ def test_pages(spark, tmp_path):
         assert x.payload == (payload if first == i else None)
     assert {x.record_type for x in w.read_archives(w.write_archives(df, min_bytes=5)).collect()} == {"response"}
     assert w.read_archives(w.write_archives(df.limit(0))).collect() == []
-    for i, a in enumerate(archives.collect()):
-        (tmp_path / f"{i}.zip").write_bytes(a.content)
-    assert w.read_files(spark, f"file://{tmp_path}", with_payload=False).count() == len(rows)
+    paths = [a.path for a in archives.collect()]
+    assert len(paths) > 2 and all(zipfile.ZipFile(p.removeprefix("file://")).testzip() is None for p in paths)
+    assert w.read_files(spark, paths[0].rpartition("/")[0], with_payload=False).count() == len(rows)
 
 
 def test_damage_is_noticed():
     data = w.archive([(1, w.record(1, None, b"payload", None, False))]).replace(b"payload", b"Payload")
     with pytest.raises(ValueError):
         list(w.records_of(w.Bytes(data)))
+
+
+def test_only_ranges_are_read(tmp_path):
+    data = [w.record(i, None, bytes([65 + i % 26]) * 300_000, None, False) for i in range(40)]
+    (tmp_path / "a.zip").write_bytes(w.archive(list(enumerate(data))))
+    source = w.File(str(tmp_path / "a.zip"))
+    z = w.ZipIndex(source)
+    start = z.start_of(w.DATA)
+    third = z.read(w.INDEX, 0, z.members[w.INDEX].size).decode().splitlines()[3].split()
+    assert w.parse(source.read(start + int(third[-2]), int(third[-1])))[0] == 3
+    assert source.bytes_read < 500_000 < 12_000_000 < source.size
+    assert [r[0] for r in w.records_of(w.File(f"file://{tmp_path}/a.zip"))] == list(range(40))
+
+
+def test_keys_that_are_null_or_equal(spark):
+    rows = [(None, "u", "same"), (2, "u", "same"), (2, "u", "same"), (5, "u", "x" * 3_000_000), (6, "u", "x" * 3_000_000), (None, "u", "alone")]
+    got = w.read_archives(w.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string")), with_payload=False).collect()
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == [
+        (0, 4, "revisit", 2), (0, 5, "response", 0), (2, 4, "response", 0), (2, 4, "response", 0), (5, 3_000_000, "response", 0), (6, 3_000_000, "revisit", 5),
+    ]
