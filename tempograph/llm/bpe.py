@@ -2,7 +2,8 @@
 
 A byte-level BPE with the usual word pattern never joins what stands on the two sides of a space between two
 non-space characters: the space begins the next piece. So a text is the chain of its chunks between such spaces,
-each encoded with its leading space, and equal chunks need the library once.
+each encoded with its leading space. Arrow splits the texts and numbers a batch's distinct chunks, and only these are looked
+up; what is new is cut into the word pattern's pieces, and each distinct piece goes to the library's model once.
 """
 
 from __future__ import annotations
@@ -12,82 +13,133 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_OF_SENTENCE = (".", "!", "?")
-MARKS = ".,;:!?"
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+#: Chunks of these characters are cut here, by the word pattern of byte-level BPE; others by the library.
+PLAIN = re.compile(rf"[{_LETTERS}0-9{_MARKS}\n]+").fullmatch
+PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n+(?!\S)|\n+").findall
+BETWEEN = re.compile(r"(?<=\S) (?=\S)").split
 #: The byte alphabet: bytes that print stand for themselves, the others for characters from 256 on.
 _SAME = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_ALPHABET = {b: chr(b) for b in _SAME} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SAME)}
 
 
-class ChunkedBPE:
-    """encode(texts) gives each text's ids as bytes of little-endian unsigned 32-bit integers.
+class Remembered(dict):
+    """Values by key in two generations: at `most` the young one becomes the old one, and what is met again returns."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+        self.old: dict = {}
+
+    def known(self, keys: list) -> list:
+        """The values of keys, None where unknown."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        found = list(map(self.get, keys))
+        if self.old:
+            for i in [i for i, x in enumerate(found) if x is None]:
+                if (x := self.old.get(keys[i])) is not None:
+                    found[i] = self[keys[i]] = x
+        return found
+
 
-    The cache has two generations: at most_chunks the young one becomes the old one, and what is met again returns to the
-    young one, so frequent chunks stay and memory is bounded.
-    """
+class ChunkedBPE:
+    """encode(texts) gives each text's ids as bytes of little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str, most_chunks: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most_chunks
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ("", *MARKS)}
-        self.between = re.compile(r"(?<=\S) (?=\S)").split
+        self.chunks, self.pieces, self.heads = Remembered(most_chunks), Remembered(most_chunks), Remembered(most_chunks // 10)
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.special = tuple({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a token has a character for each of its bytes
         self.token_bytes[list(vocab.values())] = list(map(len, vocab))
 
-    def word(self, word: str, tokenize) -> bytes:
-        """A word of letters with a space before it is one piece: the library's model takes it as it is."""
-        piece = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_ALPHABET)
-        return array("I", [t.id for t in tokenize("\u0120" + piece)]).tobytes()
+    def plain(self, chunk: str) -> bool:
+        return PLAIN(chunk) is not None and not ("<" in chunk and any(s in chunk for s in self.special))
+
+    def by_pieces(self, chunks: list[str]) -> list[bytes]:
+        """The ids of plain chunks, each with a space before it."""
+        pieces = PIECES(" " + " ".join(chunks))
+        found = self.pieces.known(pieces)
+        tokenize = self.tokenizer.model.tokenize
+        new = {}
+        for piece in dict.fromkeys([p for p, ids in zip(pieces, found) if ids is None]):
+            letters = "Ġ" + piece[1:] if piece[0] == " " and piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_ALPHABET)
+            new[piece] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+        if new:
+            self.pieces.update(new)
+            found = [new[p] if ids is None else ids for p, ids in zip(pieces, found)]
+        last = np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1))
+        stops = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))[last].tolist()
+        data = b"".join(found)
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
 
     def learn(self, chunks: list[str]) -> None:
-        rest, cache, old, tokenize = [], self.cache, self.old, self.tokenizer.model.tokenize
-        for chunk in chunks:
-            if found := SIMPLE(chunk):
-                word, mark = found.groups()
-                known = cache.get(word) or old.get(word) if mark else None
-                cache[chunk] = (known or self.word(word, tokenize)) + self.marks[mark]
-            else:
-                rest.append(chunk)
+        plain = list(map(self.plain, chunks))
+        own, rest = [c for c, p in zip(chunks, plain) if p], [c for c, p in zip(chunks, plain) if not p]
+        if own:
+            self.chunks.update(zip(own, self.by_pieces(own)))
         for at in range(0, len(rest), 5000):  # many chunks as one text, its ids cut where their bytes begin
             part = rest[at : at + 5000]
             ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
             ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(w.encode()) + 1 for w in part]), "left") + 1
             data, stops = ids.tobytes(), (4 * ends).tolist()
-            cache.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)]))
+            self.chunks.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops)]))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        wanted = set().union(*split)
-        if bad := {w for w in wanted.difference(self.cache) if not w or w[0].isspace() or w[-1].isspace()}:
-            split = [c if bad.isdisjoint(c) else self.between(t) for c, t in zip(split, texts)]
-            wanted = set().union(*split)
-        heads = [c.pop(0) for c in split]
-        if len(self.cache) > self.most:
-            self.old, self.cache = self.cache, {}
-        missing = []
-        for w in wanted.difference(self.cache):
-            if (known := self.old.get(w)) is None:
-                missing.append(w)
-            else:
-                self.cache[w] = known
-        if missing:
+    def of_chunks(self, wanted: list[str]) -> list[bytes]:
+        found = self.chunks.known(wanted)
+        if missing := [w for w, ids in zip(wanted, found) if ids is None]:
             self.learn(missing)
-        if len(self.first) > self.most // 10:
-            self.first.clear()
-        if unknown := [w for w in set(heads) if w not in self.first]:
-            found = self.tokenizer.encode_batch(unknown, add_special_tokens=False)
-            self.first.update(zip(unknown, (np.array(e.ids, "<u4").tobytes() for e in found)))
-        first, rest = self.first.__getitem__, self.cache.__getitem__
-        return [first(h) + b"".join(map(rest, c)) for h, c in zip(heads, split)]
+            found = [self.chunks[w] if ids is None else ids for w, ids in zip(wanted, found)]
+        return found
+
+    def of_heads(self, wanted: list[str]) -> list[bytes]:
+        """A text's first chunk has no space before it."""
+        distinct = list(set(wanted))
+        found = dict(zip(distinct, self.heads.known(distinct)))
+        if unknown := [w for w, ids in found.items() if ids is None]:
+            for w, e in zip(unknown, self.tokenizer.encode_batch(unknown, add_special_tokens=False)):
+                found[w] = self.heads[w] = np.array(e.ids, "<u4").tobytes()
+        return [found[w] for w in wanted]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        codes = split.values.dictionary_encode()
+        offsets, index, distinct = split.offsets.to_numpy(), codes.indices.to_numpy().astype(np.int64), codes.dictionary.to_pylist()
+        odd = pc.or_(pc.equal(codes.dictionary, ""), pc.not_equal(codes.dictionary, pc.utf8_trim_whitespace(codes.dictionary))).to_numpy(zero_copy_only=False)
+        if odd.any():  # these texts have spaces that part nothing
+            rows = np.unique(np.searchsorted(offsets, np.flatnonzero(odd[index]), "right") - 1).tolist()
+            lists = {r: BETWEEN(texts[r]) for r in rows}
+            number = {w: i for i, w in enumerate(distinct)}
+            parts = [[number.setdefault(w, len(number)) for w in lists[r]] if r in lists else index[offsets[r] : offsets[r + 1]] for r in range(len(texts))]
+            offsets = np.cumsum([0, *map(len, parts)])
+            index, distinct = np.concatenate([np.asarray(x, np.int64) for x in parts]), list(number)
+        first = offsets[:-1]
+        inner = np.ones(len(index), bool)
+        inner[first] = False
+        wanted = np.zeros(len(distinct), bool)
+        wanted[index[inner]] = True
+        used, place = np.flatnonzero(wanted), np.cumsum(wanted) - 1
+        data = self.of_chunks([distinct[i] for i in used.tolist()]) + self.of_heads([distinct[i] for i in index[first].tolist()])
+        index = place[index]
+        index[first] = len(used) + np.arange(len(first))
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        flat, starts = np.frombuffer(b"".join(data), "<u4"), np.cumsum(sizes) - sizes
+        length = sizes[index]
+        ends = np.cumsum(length)
+        ids = flat[np.repeat(starts[index] - (ends - length), length) + np.arange(int(ends[-1]))].tobytes()
+        stops = (4 * ends[offsets[1:] - 1]).tolist()
+        return [ids[a:b] for a, b in zip([0, *stops], stops)]
 
     def sentence_ends(self) -> np.ndarray:
         """For each id: does a sentence end with it?"""

@@ -6,12 +6,13 @@ Over the boundaries p_0 < p_1 < ... of a segment the least cost is
 
     cost[j] = penalty[j] + min over i of cost[i] + each + padding(p_j - p_i)
 
-(`each`: a small cost of every window, against many short ones) and as padding is window - (p_j - p_i), the minimum of cost[i] + p_i over the window that slides along is kept by a
-monotone queue, so each boundary is pushed and popped once. A second queue serves two windows with one cut inside a
-sentence between them; the few exact powers of two are looked up. Memory is bounded: a partition is packed in segments.
+(`each`: a small cost of every window, against many short ones) and as padding is window - (p_j - p_i), the minimum of
+cost[i] + p_i over the window that slides along is kept by a monotone queue, so each boundary is pushed and popped once.
+Two windows with one cut inside a sentence between them are tried from the few starts where they can be best; exact powers of
+two are looked up. Memory is bounded: a partition is packed in segments.
 
 Cases: a null text counts as empty and still gives its end id; an empty table gives no rows; repeated rows are packed as
-often as they occur; a text longer than a segment is a segment of its own; other columns are left out.
+often as they occur; a null doc_id stays null; a text longer than a segment is a segment of its own; other columns are left out.
 """
 
 from __future__ import annotations
@@ -35,68 +36,74 @@ def padding(length: int, window: int) -> int:
 
 def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int, sentence: float, inside: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a cut may be, from 0 to the last document's end, at most a window apart, and what each costs."""
-    at = np.unique(np.concatenate([[0], sentence_ends, doc_ends]))
+    penalty = np.full(int(doc_ends[-1]) + 1, -1.0)
+    penalty[sentence_ends] = sentence
+    penalty[doc_ends] = penalty[0] = 0.0
+    at = np.flatnonzero(penalty >= 0)
     gaps = np.flatnonzero(np.diff(at) > window)
-    more = np.concatenate([np.arange(at[g] + window, at[g + 1], window) for g in gaps]) if len(gaps) else np.zeros(0, at.dtype)
-    cost = np.full(len(at), float(sentence))
-    cost[np.searchsorted(at, doc_ends)] = 0.0
-    cost[0] = 0.0
-    order = np.argsort(both := np.concatenate([at, more]), kind="stable")
-    return both[order], np.concatenate([cost, np.full(len(more), float(inside))])[order]
+    if len(gaps):
+        penalty[np.concatenate([np.arange(at[g] + window, at[g + 1], window) for g in gaps])] = inside
+        at = np.flatnonzero(penalty >= 0)
+    return at, penalty[at]
 
 
-def cuts(at: np.ndarray, cost: np.ndarray, window: int, inside: float, each: float) -> list[int]:
-    """The window ends of least total cost. Equal costs: the earliest start, one window before two."""
-    twos: list[list[int]] = []
+def exact_pairs(at: np.ndarray, window: int, base: int) -> tuple[list[int], list[int]]:
+    """Boundaries j and i, by j, whose distance is base and a power of two below the window."""
     number = np.full(int(at[-1]) + 2 * window + 1, -1, np.int32)  # of the boundary at a position, from -2 * window on
     number[at + 2 * window] = np.arange(len(at))
-    for base in (0, window):  # an exact power of two, alone or after a full window
-        found = [number[at + (2 * window - base - (1 << k))] for k in range(window.bit_length() - 1)]
-        hit = [np.flatnonzero(i >= 0) for i in found]
-        js = np.concatenate(hit)
-        sources = np.concatenate([i[h] for i, h in zip(found, hit)])
-        order = np.argsort(js, kind="stable")
-        twos.append([js[order].tolist() + [-1], sources[order].tolist()])
-    (one_j, one_i), (two_j, two_i) = twos
+    found = np.stack([number[at + (2 * window - base - (1 << k))] for k in range(window.bit_length() - 1)], axis=1)
+    js, which = np.nonzero(found >= 0)
+    return [*js.tolist(), -1], found[js, which].tolist()
+
+
+def cuts(at: np.ndarray, cost: np.ndarray, window: int, inside: float, each: float) -> list[int]:
+    """The window ends of least total cost. Equal costs: the earliest start, one window before two.
+
+    No boundary may cost more than a cut inside a sentence. Then two windows with such a cut between them can only be best
+    from starts that no boundary in reach of j could be reached from, a stretch shorter than one gap between boundaries.
+    """
+    one_j, one_i = exact_pairs(at, window, 0)  # an exact power of two
+    two_j, two_i = exact_pairs(at, window, window)  # after a full window
     p, q = at.tolist(), cost.tolist()
     n = len(p)
     best, key, back, double = [0.0] * n, [0.0] * n, [0] * n, bytearray(n)
-    near, near_head, far, far_head, moved = [0], 0, [], 0, 0  # queues of boundary numbers, their keys rise
-    a = b = 0
+    near, head = [0], 0  # the monotone queue of boundary numbers: their keys rise
+    a = b = first = far = 0
+    next_one, next_two = one_j[0], two_j[0]
     whole, second = window + each, inside + 2 * each
+    both = 2 * whole + inside
     for j in range(1, n):
         x = p[j]
         low = x - window
-        while p[moved] < low:  # leaves the reach of one window, enters that of two
-            k = key[moved]
-            while len(far) > far_head and key[far[-1]] > k:
-                far.pop()
-            far.append(moved)
-            moved += 1
-        while p[near[near_head]] < low:
-            near_head += 1
-        i = near[near_head]
+        while p[near[head]] < low:
+            head += 1
+        i = near[head]
         value, two = key[i] + whole - x, 0
-        while one_j[a] == j:
+        while next_one == j:
             if best[one_i[a]] + each < value:
                 i = one_i[a]
                 value = best[i] + each
             a += 1
-        while far_head < len(far) and p[far[far_head]] < low - window:
-            far_head += 1
-        if far_head < len(far):
-            other = key[far[far_head]] + 2 * whole - x + inside
-            if other < value:
-                i, value, two = far[far_head], other, 1
-        while two_j[b] == j:
+            next_one = one_j[a]
+        while p[first] < low:  # the first boundary that one window reaches j from
+            first += 1
+        while p[far] < low - window:
+            far += 1
+        f, beyond = far, p[first] - window
+        while p[f] < beyond:
+            if key[f] + both - x < value:
+                i, value, two = f, key[f] + both - x, 1
+            f += 1
+        while next_two == j:
             if best[two_i[b]] + second < value:
                 i, two = two_i[b], 1
                 value = best[i] + second
             b += 1
+            next_two = two_j[b]
         value += q[j]
         best[j], back[j], double[j] = value, i, two
         key[j] = k = value + x
-        while len(near) > near_head and key[near[-1]] > k:
+        while len(near) > head and key[near[-1]] > k:
             near.pop()
         near.append(j)
     ends, j = [], n - 1
@@ -154,6 +161,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, *, window: int = 10
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
+    if not 0 <= sentence_penalty <= inside_penalty:
+        raise ValueError("a cut inside a sentence must cost as much as one at its end, at least")
     small_batches(docs.sparkSession)
     path = tokenizer_path or default_path()
 
