@@ -1,8 +1,8 @@
 """Token-id output compressed by Re-Pair grammars.
 
 Documents are put into ascending doc_id order by a range partition, encoded, and cut into blocks of whole documents.
-In each block the most frequent pairs of neighbouring symbols become nonterminals, round after round (one round replaces
-a batch of pairs, left to right, without overlap). A block's bytes, all little-endian:
+In each block frequent pairs of neighbouring symbols become nonterminals, round after round, until no pair occurs `least`
+times. A block's bytes, all little-endian:
 
     magic "RPG1", then unsigned 32-bit: documents, first nonterminal, rules, symbols; unsigned 64-bit: tokens
     documents x int64 doc_id, documents x uint8 is-set, documents x uint32 tokens
@@ -34,45 +34,91 @@ from tempograph.llm.common import ids_and_text, small_batches, stored
 HEAD = struct.Struct("<4sIIIIQ")
 BLOCK_SCHEMA = "shard int, block int, n_docs int, n_tokens long, n_symbols long, payload binary"
 READ_SCHEMA = "shard int, block int, doc_id long, start_in_block long, n_tokens long, ids_crc32 long"
-BITS = 18
-
-
-def grammar(ids: np.ndarray, first: int, rounds: int, most_rules: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols that remain, and the rules' left and right sides."""
+NEVER = np.int32((1 << 31) - 1)
+PASSES = 3  # over the overlaps of a round's pairs; what is still open waits for the next round
+
+
+def alternate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs don't overlap an equal pair before them: in a run of one symbol, every second."""
+    valid = np.ones(len(a), bool)
+    same = np.flatnonzero(a == b)
+    if len(same):
+        at = np.arange(len(same))
+        begins = np.maximum.accumulate(np.where(np.diff(same, prepend=-2) != 1, at, 0))
+        valid[same[(at - begins) % 2 == 1]] = False
+    return valid
+
+
+def ranked_pairs(a: np.ndarray, b: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of the pairs at the places at: the places of those that occur `least` times, the rank of each (0: the most frequent),
+    and the number of ranks. Pairs are counted exactly, by one sort of pair and place together."""
+    place_bits, symbol_bits = int(len(a)).bit_length(), int(max(a.max(), b.max())).bit_length()
+    left, right = a[at].astype(np.uint64), b[at].astype(np.uint64)
+    if 2 * symbol_bits + place_bits <= 64:
+        both = np.sort((left << np.uint64(symbol_bits + place_bits)) | (right << np.uint64(place_bits)) | at.astype(np.uint64))
+        pair, place = both >> np.uint64(place_bits), (both & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+    else:
+        pair = (left << np.uint64(symbol_bits)) | right
+        order = np.argsort(pair, kind="stable")
+        pair, place = pair[order], at[order]
+    begins = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    count = np.diff(begins, append=len(pair))
+    frequent = np.flatnonzero(count >= least)
+    rank = np.empty(len(frequent), np.int32)
+    rank[np.argsort(-count[frequent], kind="stable")] = np.arange(len(frequent), dtype=np.int32)
+    sizes = count[frequent]
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return place[np.repeat(begins[frequent], sizes) + inside], np.repeat(rank, sizes), len(frequent)
+
+
+def grammar(ids: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols that remain, and the rules' left and right sides: Re-Pair until no pair occurs `least` times.
+
+    A round counts pairs and replaces many: where frequent pairs overlap, the more frequent one is replaced. Pairs of old
+    symbols only get rarer, so after the first round only pairs with a new symbol, or frequent ones that lost a place to
+    another, are counted again.
+    """
     seq, lefts, rights, free = ids.astype(np.uint32), [], [], first
-    for _ in range(rounds):
-        if len(seq) < 2 or free >= 1 << 24:
-            break
+    open_ = np.ones(max(0, len(seq) - 1), bool)  # pairs to count, by their left place
+    while len(seq) > 1 and free < 1 << 24:
         a, b = seq[:-1], seq[1:]
-        slot = (a * np.uint32(2654435761) ^ b * np.uint32(2246822519)) >> np.uint32(32 - BITS)
-        holder = np.zeros(1 << BITS, np.int32)  # of the pairs that share a slot, one stands for it
-        holder[slot] = np.arange(len(slot), dtype=np.int32)
-        at = holder[slot]
-        same = (a[at] == a) & (b[at] == b)
-        count = np.bincount(slot[same], minlength=1 << BITS)
-        room = min(most_rules, (1 << 24) - free)
-        frequent = np.flatnonzero(count >= least)
-        chosen = frequent[np.argsort(-count[frequent], kind="stable")[:room]]
-        if not len(chosen):
+        at = np.flatnonzero(open_ & alternate(a, b))
+        if len(at) < least:
             break
-        rule_of = np.full(1 << BITS, -1, np.int32)
-        rule_of[chosen] = np.arange(len(chosen), dtype=np.int32)
-        where = np.flatnonzero(same & (rule_of[slot] >= 0))
-        run = np.arange(len(where))
-        begins = np.maximum.accumulate(np.where(np.diff(where, prepend=-2) != 1, run, 0))
-        where = where[(run - begins) % 2 == 0]
-        rule = rule_of[slot[where]]
-        used = np.bincount(rule, minlength=len(chosen))
-        number = np.cumsum(used > 0) - 1
-        sides = holder[chosen[used > 0]]
+        place, rank, n = ranked_pairs(a, b, at, least)
+        n = min(n, (1 << 24) - free)
+        if not n:
+            break
+        ranks = np.full(len(seq) + 1, NEVER, np.int32)  # ranks[i + 1]: of the pair at i
+        ranks[place + 1] = np.where(rank < n, rank, NEVER)
+        chosen = []
+        for _ in range(PASSES):
+            own = ranks[1:-1]
+            won = np.flatnonzero((own < ranks[:-2]) & (own < ranks[2:]))
+            if not len(won):
+                break
+            chosen.append((won, own[won]))
+            ranks[won], ranks[won + 1], ranks[won + 2] = NEVER, NEVER, NEVER
+        where, rule = (np.concatenate(x) for x in zip(*chosen))
+        used = np.bincount(rule, minlength=n) >= least
+        where, rule = where[used[rule]], rule[used[rule]]
+        number = np.cumsum(used) - 1
+        sides = np.zeros(int(used.sum()), np.int64)
+        sides[number[rule]] = where
         lefts.append(seq[sides])
         rights.append(seq[sides + 1])
-        keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
         seq = seq.copy()
-        seq[where] = free + number[rule]
-        seq = seq[keep]
-        free += int(number[-1]) + 1
+        seq[where] = free + number[rule].astype(np.uint32)
+        keep, open_ = np.ones(len(seq), bool), np.zeros(len(seq) + 1, bool)
+        keep[where + 1] = False
+        open_[place + 1] = True  # what lost a place
+        open_[where + 1] = open_[where] = open_[where + 2] = True
+        # the pair after a new symbol begins at that symbol; the one before it, at the last kept symbol before it
+        seq, fresh = seq[keep], np.zeros(len(seq), bool)
+        fresh[where] = True
+        fresh, open_ = fresh[keep], open_[1:][keep]
+        open_ = open_[:-1] | fresh[:-1] | fresh[1:]
+        free += len(sides)
     empty = np.zeros(0, np.uint32)
     return seq, np.concatenate([empty, *lefts]), np.concatenate([empty, *rights])
 
@@ -86,13 +132,13 @@ def expansion_lengths(left: np.ndarray, right: np.ndarray, first: int) -> np.nda
     return np.array(lengths, np.uint32)
 
 
-def encode_block(doc_ids: list, ids: list[bytes], *, vocabulary: int, rounds: int = 5, most_rules: int = 2048, least: int = 8) -> tuple[bytes, int, int]:
+def encode_block(doc_ids: list, ids: list[bytes], *, vocabulary: int, least: int = 8) -> tuple[bytes, int, int]:
     """The block's bytes, its tokens and its symbols."""
     tokens = np.frombuffer(b"".join(ids), "<u4")
     first = max(vocabulary, int(tokens.max(initial=0)) + 1)
     if first >= 1 << 24:
         raise ValueError("ids must be below 2^24")
-    seq, left, right = grammar(tokens, first, rounds, most_rules, least)
+    seq, left, right = grammar(tokens, first, least)
     body = b"".join([
         HEAD.pack(b"RPG1", len(doc_ids), first, len(left), len(seq), len(tokens)),
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
@@ -210,7 +256,6 @@ def write_blocks(docs: DataFrame, tokenizer_path: str | None = None, *, end_id:
 
 def read_digests(blocks: DataFrame) -> DataFrame:
     """Per document, from the blocks: the ids before it in all, its ids, and their crc32."""
-    small_batches(blocks.sparkSession, 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
