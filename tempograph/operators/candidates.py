@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempograph.operators.walks import ground, included
+from tempograph.operators.walks import ground
 
 
 def usable(rules: DataFrame, *, min_conf: float = 0.01, min_body_supp: int = 2, lengths: list[int] | None = None, kind: str = "Common") -> DataFrame:
@@ -28,14 +28,14 @@ def with_rule_order(rules: DataFrame) -> DataFrame:
 def evidence(rules: DataFrame, facts: DataFrame, queries: DataFrame, *, window: int = -1, relax: bool = False) -> DataFrame:
     """(qid, rule_id, entity, t0, t_last): the latest first and last times of the walks of a rule that end at an entity.
 
-    Queries with equal (sub, rel, ts) are answered once.
+    Queries that the walks can't tell apart are answered once: those of equal (sub, rel, ts), or of equal (sub, rel) where
+    facts are taken without a time test.
     """
-    key = ["sub", "rel", "ts"]
-    distinct = queries.groupBy(*key).agg(F.min("qid").alias("first_qid"))
-    walks = ground(rules, facts, distinct.withColumnRenamed("first_qid", "qid"), window=window, relax=relax)
-    walks = walks.join(rules.select("rule_id", "var_constraints"), "rule_id").where(included())
-    found = walks.groupBy("qid", "rule_id", F.expr("es[size(es) - 1]").alias("entity")).agg(F.max(F.expr("ts[0]")).alias("t0"), F.max(F.expr("ts[size(ts) - 1]")).alias("t_last"))
-    back = queries.join(distinct, key).select("qid", "first_qid")
+    key = ["sub", "rel"] if window < 0 else ["sub", "rel", "ts"]
+    distinct = queries.groupBy(*key).agg(F.min("qid").alias("qid"), *([F.min("ts").alias("ts")] if window < 0 else []))
+    walks = ground(rules, facts, distinct, window=window, relax=relax)
+    found = walks.groupBy("qid", "rule_id", F.col("ek").alias("entity")).agg(F.max("t0").alias("t0"), F.max("t_last").alias("t_last"))
+    back = queries.join(distinct.select(*key, F.col("qid").alias("first_qid")), key).select("qid", "first_qid")
     return found.withColumnRenamed("qid", "first_qid").join(back, "first_qid").select("qid", "rule_id", "entity", "t0", "t_last")
 
 
@@ -71,8 +71,9 @@ def scored(found: DataFrame, rules: DataFrame, queries: DataFrame, mode: str = "
 
 
 def aggregated(scores: DataFrame, kind: str = "noisy-or") -> DataFrame:
-    """(qid, entity, score) over the rules of a candidate."""
-    by = {"noisy-or": 1 - F.product(1 - F.col("score")), "sum": F.sum("score"), "mean": F.avg("score"), "min": F.min("score"), "max": F.max("score")}
+    """(qid, entity, score) over the rules of a candidate. Sums are of decimals of 9 digits, so their order changes nothing."""
+    total = F.sum(F.col("score").cast("decimal(20,9)")).cast("double")
+    by = {"noisy-or": 1 - F.product(1 - F.col("score")), "sum": total, "mean": total / F.count("score"), "min": F.min("score"), "max": F.max("score")}
     return scores.groupBy("qid", "entity").agg(by[kind].alias("score"))
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempograph.operators.walks import ground, pattern
+from tempograph.operators.walks import ground
 
 
 def pair_max_ts(facts: DataFrame) -> DataFrame:
@@ -26,11 +26,8 @@ def rule_support(bodies: DataFrame, facts: DataFrame) -> DataFrame:
 def confidences(rules: DataFrame, facts: DataFrame, *, relax: bool = False, digits: int = 6) -> DataFrame:
     """rules with body_supp, rule_supp and conf; a rule without a body has zeros. Constraints must match exactly."""
     facts = facts.distinct()
-    meta = rules.select("rule_id", "head_rel", "var_constraints")
-    bodies = ground(rules, facts, relax=relax).join(meta, "rule_id")
-    bodies = bodies.where((F.size("var_constraints") == 0) | (pattern() == F.array_sort("var_constraints")))
-    flat = bodies.select("rule_id", "head_rel", F.expr("es[0]").alias("e0"), F.expr("es[size(es) - 1]").alias("ek"), F.expr("ts[size(ts) - 1]").alias("t_last"))
-    counts = rule_support(flat, facts).groupBy("rule_id").agg(F.count(F.lit(1)).alias("body_supp"), F.sum(F.col("holds").cast("long")).alias("rule_supp"))
+    bodies = ground(rules, facts, relax=relax, exact=True).join(rules.select("rule_id", "head_rel"), "rule_id")
+    counts = rule_support(bodies, facts).groupBy("rule_id").agg(F.sum("bodies").alias("body_supp"), F.sum(F.when(F.col("holds"), F.col("bodies")).otherwise(0)).alias("rule_supp"))
     out = rules.drop("body_supp", "rule_supp", "conf").join(counts, "rule_id", "left").fillna(0, ["body_supp", "rule_supp"])
     return out.withColumn("conf", F.coalesce(F.round(F.try_divide(F.col("rule_supp"), F.col("body_supp")), digits), F.lit(0.0)))
 

@@ -33,16 +33,6 @@ def constrained(walks: DataFrame, groups: list[list[int]]) -> DataFrame:
     return walks.where(reduce(lambda a, b: a & b, tests)) if tests else walks
 
 
-def pattern(es: str = "es") -> Column:
-    """The groups (of two or more positions) that share an entity, sorted."""
-    return F.expr(f"array_sort(filter(transform(array_distinct({es}), e -> filter(sequence(0, size({es}) - 1), p -> {es}[p] = e)), g -> size(g) > 1))")
-
-
-def included(es: str = "es", groups: str = "var_constraints") -> Column:
-    """Are the entities equal inside each group?"""
-    return F.expr(f"forall({groups}, g -> size(array_distinct(transform(g, p -> {es}[p]))) <= 1)")
-
-
 def in_window(fact_ts: Column, query_ts: Column, window: int) -> Column:
     """[t - window, t) for a positive window, everything earlier for 0; -1 tests no time (its facts are the learned ones)."""
     if window < 0:
@@ -68,36 +58,73 @@ def atoms(rules: DataFrame) -> DataFrame:
     return rules.select("rule_id", F.posexplode("body_rels").alias("pos", "atom_rel"))
 
 
-def ground(rules: DataFrame, facts: DataFrame, queries: DataFrame | None = None, *, window: int = -1, relax: bool = False, longest: int = 3) -> DataFrame:
-    """All groundings: rule_id, es, ts, and qid where queries (qid, rel, sub, ts) are given.
+def pair_bit(a: int, b: int) -> int:
+    """The bit of the positions a < b in a rule's masks."""
+    return 1 << (a * 8 + b)
+
+
+def with_masks(rules: DataFrame, exact: bool, longest: int) -> DataFrame:
+    """rules with same and differ: which pairs of positions must hold one entity, and (exact) which must not. A rule without
+    constraints has neither."""
+    pairs = [(a, b) for a in range(longest + 1) for b in range(a + 1, longest + 1)]
+    together = {(a, b): F.expr(f"exists(var_constraints, g -> array_contains(g, {a}) and array_contains(g, {b}))") for a, b in pairs}
+    same = reduce(lambda x, y: x + y, [F.when(together[p], F.lit(pair_bit(*p))).otherwise(F.lit(0)).cast("long") for p in pairs])
+    other = reduce(lambda x, y: x + y, [F.when(~together[p], F.lit(pair_bit(*p))).otherwise(F.lit(0)).cast("long") for p in pairs])
+    tied = F.size("var_constraints") > 0
+    return rules.withColumn("same", F.when(tied, same).otherwise(0)).withColumn("differ", F.when(tied & F.lit(exact), other).otherwise(0))
+
+
+def fits(new: Column, position: int) -> Column:
+    """May new stand at this position, after the entities e0, e1, ... before it?"""
+    tests = []
+    for a in range(position):
+        bit = F.lit(pair_bit(a, position)).cast("long")
+        tests.append((F.col("same").bitwiseAND(bit) == 0) | (F.col(f"e{a}") == new))
+        tests.append((F.col("differ").bitwiseAND(bit) == 0) | (F.col(f"e{a}") != new))
+    return reduce(lambda x, y: x & y, tests)
+
+
+def ground(rules: DataFrame, facts: DataFrame, queries: DataFrame | None = None, *, window: int = -1, relax: bool = False, exact: bool = False, longest: int = 3) -> DataFrame:
+    """The ends of all groundings, counted along the way: rule_id, e0, ek, t_last, t0 (the latest), bodies, and qid where
+    queries (qid, rel, sub, ts) are given.
 
     With queries a rule starts at the subject of every query of its head relation and uses facts of the query's window.
+    After each hop walks that agree in rule, start, node and last time become one row with their number, so no walk is listed.
+    Only rules with constraints carry the entities on their way, and their tests are part of the join that meets them; exact:
+    the entities share exactly as constrained. Walks are few bytes before a hop and many rows after it, so they are dealt out
+    by the hop's key over all shuffle partitions, however small they are.
     """
+    tasks = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = atoms(rules)
-    sizes = rules.select("rule_id", F.size("body_rels").alias("length"), "head_rel")
+    meta = with_masks(rules, exact, longest).select("rule_id", F.size("body_rels").alias("length"), "head_rel", "same", "differ")
     f = facts.select(F.col("rel").alias("f_rel"), F.col("sub").alias("f_sub"), F.col("obj").alias("f_obj"), F.col("ts").alias("f_ts"))
-    start = sizes.join(every.where("pos = 0"), "rule_id")
-    keys = ["rule_id", "length"]
+    tied = (F.col("same") != 0) | (F.col("differ") != 0)
+    inner = [f"e{i}" for i in range(1, longest)]
+    keys = ["rule_id"] if queries is None else ["rule_id", "qid", "q_ts"]
+    fixed = [*keys, "length", "same", "differ"]
+    start = meta.join(every.where("pos = 0"), "rule_id")
+    on = F.col("atom_rel") == F.col("f_rel")
     if queries is not None:
         q = queries.select("qid", F.col("rel").alias("head_rel"), F.col("sub").alias("q_sub"), F.col("ts").alias("q_ts"))
         start = start.join(q, "head_rel")
-        on = (F.col("atom_rel") == F.col("f_rel")) & (F.col("q_sub") == F.col("f_sub")) & in_window(F.col("f_ts"), F.col("q_ts"), window)
-        keys += ["qid", "q_ts"]
-    else:
-        on = F.col("atom_rel") == F.col("f_rel")
-    now = start.join(f, on).select(*keys, F.array("f_sub", "f_obj").alias("es"), F.array("f_ts").alias("ts"), F.col("f_obj").alias("node"), F.col("f_ts").alias("last"))
+        on = on & (F.col("q_sub") == F.col("f_sub")) & in_window(F.col("f_ts"), F.col("q_ts"), window)
+    kind = facts.schema["obj"].dataType
+    now = start.join(f, on).withColumn("e0", F.col("f_sub")).where(fits(F.col("f_obj"), 1))
+    now = now.select(*fixed, "e0", *[F.lit(None).cast(kind).alias(e) for e in inner], F.col("f_obj").alias("ek"), F.col("f_ts").alias("t_last"), F.col("f_ts").alias("t0"), F.lit(1).cast("long").alias("bodies"))
     done = now.where("length = 1")
     for pos in range(1, longest):
-        step = now.where(F.col("length") > pos).join(every.where(F.col("pos") == pos).drop("pos"), "rule_id")
-        on = (F.col("atom_rel") == F.col("f_rel")) & (F.col("node") == F.col("f_sub"))
+        now = now.where(F.col("length") > pos).withColumn(f"e{pos}", F.when(tied, F.col("ek")))
+        if pos > 1:  # the first hop's rows are facts, and differ
+            now = now.groupBy(*fixed, "e0", *inner, "ek", "t_last").agg(F.max("t0").alias("t0"), F.sum("bodies").alias("bodies"))
+        step = now.join(every.where(F.col("pos") == pos).drop("pos"), "rule_id").repartition(tasks, "atom_rel", "ek")
+        on = (F.col("atom_rel") == F.col("f_rel")) & (F.col("ek") == F.col("f_sub")) & fits(F.col("f_obj"), pos + 1)
         if not relax:
-            on = on & (F.col("last") <= F.col("f_ts"))
+            on = on & (F.col("t_last") <= F.col("f_ts"))
         if queries is not None:
             on = on & in_window(F.col("f_ts"), F.col("q_ts"), window)
-        grown = F.concat("es", F.array("f_obj")).alias("es"), F.concat("ts", F.array("f_ts")).alias("ts")
-        now = step.join(f, on).select(*keys, *grown, F.col("f_obj").alias("node"), F.col("f_ts").alias("last"))
+        now = step.join(f, on).select(*fixed, "e0", *inner, F.col("f_obj").alias("ek"), F.col("f_ts").alias("t_last"), "t0", "bodies")
         done = done.unionByName(now.where(F.col("length") == pos + 1))
-    return done.select("rule_id", *([] if queries is None else ["qid"]), "es", "ts")
+    return done.groupBy(*[k for k in keys if k != "q_ts"], "e0", "ek", "t_last").agg(F.max("t0").alias("t0"), F.sum("bodies").alias("bodies"))
 
 
 def eager_counts(facts: DataFrame, body: list) -> DataFrame:
