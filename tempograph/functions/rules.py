@@ -16,10 +16,10 @@ NUMBERING = r"^\d+\.\s+"
 
 
 def normal(rule: Column) -> Column:
-    """Without spaces around the arrow, commas and ampersands."""
-    out = F.regexp_replace(F.trim(rule), r"\s*<-\s*", "<-")
+    """One space on either side of the arrow, none around ampersands, runs of white space as one space."""
+    out = F.regexp_replace(F.trim(rule), r"\s*<-\s*", " <- ")
     out = F.regexp_replace(out, r"\s*&\s*", "&")
-    return F.regexp_replace(out, r",\s+", ",")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
 def rule_id(rule: Column) -> Column:
@@ -28,7 +28,7 @@ def rule_id(rule: Column) -> Column:
 
 
 def _atoms(rule: Column, group: int) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(normal(rule), "<-", "&"), F.lit(ATOM), F.lit(group))
+    return F.regexp_extract_all(F.regexp_replace(normal(rule), " ?<- ?", "&"), F.lit(ATOM), F.lit(group))
 
 
 def relations(rule: Column) -> Column:
@@ -57,15 +57,16 @@ def normal_constraints_sql(groups: str, length: str) -> str:
     return f"array_sort(concat(transform({groups}, g -> array_sort(g)), {single}))"
 
 
-def canonical(head: str = "head", body: str = "body", groups: str = "var_constraints") -> Column:
-    """Head(X0,Xl,Tl)<-B1(X0,X1,T0)&...: a position that shares its entity has the name of its group's first position."""
+def canonical(head: str = "head", body: str = "body", groups: str = "var_constraints", arrow: str = " <- ") -> Column:
+    """Head(X0,Xl,Tl) <- B1(X0,X1,T0)&...: a position is named by the place of its group among all groups and singletons, sorted."""
+    last = f"size({body})"
 
     def name(p: str) -> str:
-        return f"concat('X', cast(coalesce(array_min(flatten(filter({groups}, g -> array_contains(g, {p})))), {p}) as string))"
+        return f"concat('X', cast(array_position(transform(named, g -> array_contains(g, {p})), true) - 1 as string))"
 
     atoms = f"transform({body}, (r, i) -> concat(r, '(', {name('i')}, ',', {name('i + 1')}, ',T', cast(i as string), ')'))"
-    last = f"size({body})"
-    return F.expr(f"concat({head}, '(', {name('0')}, ',', {name(last)}, ',T', cast({last} as string), ')<-', array_join({atoms}, '&'))")
+    text = f"concat({head}, '(X0,', {name(last)}, ',T', cast({last} as string), ')', '{arrow}', array_join({atoms}, '&'))"
+    return F.expr(f"element_at(transform(array({normal_constraints_sql(groups, last)}), named -> {text}), 1)")
 
 
 def verbalised(rule: Column, conf: str = "conf", supp: str = "rule_supp", body: str = "body_supp") -> Column:
@@ -102,9 +103,15 @@ def relation_list(names: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(names)), ";")
 
 
-def clean_name(name: Column) -> Column:
-    """camelCase and _ to spaced small letters."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "[_./]+", " ")))
+def clean_name(name: Column, paths: dict[str, str] | None = None) -> Column:
+    """A relation's name for a reader: outer underscores go; then a name with / is looked up in paths (and stays as it is if
+    that lacks it), inner _ or else & become spaces, or else capitals begin words and the name is in small letters."""
+    bare = F.regexp_replace(name, "^_+|_+$", "")
+    plain = F.regexp_replace(bare, "^inverse ", "")
+    known = F.create_map(*[F.lit(x) for kv in paths.items() for x in kv])[plain] if paths else F.lit(None).cast("string")
+    of_path = F.when(bare.startswith("inverse "), F.concat(F.lit("inverse "), known)).otherwise(known)
+    camel = F.lower(F.regexp_replace(bare, "(?<!^)(?=[A-Z])", " "))
+    return F.when(bare.contains("/"), F.coalesce(of_path, bare)).when(bare.contains("_"), F.replace(bare, F.lit("_"), F.lit(" "))).when(bare.contains("&"), F.replace(bare, F.lit("&"), F.lit(" "))).otherwise(camel)
 
 
 def extracted(line: Column) -> Column:
@@ -130,9 +137,8 @@ def hours_between(start: Column, end: Column) -> Column:
 
 
 def rule_id_text(rule: str) -> str:
-    rule = re.sub(r"\s*<-\s*", "<-", rule.strip())
-    rule = re.sub(r",\s+", ",", re.sub(r"\s*&\s*", "&", rule))
-    return hashlib.sha1(rule.encode()).hexdigest()[:12]
+    rule = re.sub(r"\s*&\s*", "&", re.sub(r"\s*<-\s*", " <- ", rule.strip()))
+    return hashlib.sha1(re.sub(r"\s+", " ", rule).strip().encode()).hexdigest()[:12]
 
 
 def config_id(config: dict) -> str:

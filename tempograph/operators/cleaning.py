@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempograph.functions.rules import ATOM_TEXT, normal
+from tempograph.functions.rules import ATOM_TEXT, normal, normal_constraints_sql
 
 ERRORS = ("no atom", "time is no number", "unknown relation", "no chain", "time order")
 
@@ -64,11 +64,23 @@ def first_occurrences(lines: DataFrame, key, order: str) -> DataFrame:
 
 
 def distinct_rules(rules: DataFrame, order: str = "rule_order") -> DataFrame:
-    """One rule per (head_rel, body_rels, var_constraints), the first."""
-    place = F.row_number().over(Window.partitionBy("head_rel", "body_rels", "var_constraints").orderBy(order))
+    """One rule per head, body and constraints, the first; constraints that differ in order or in singletons are the same."""
+    key = F.expr(normal_constraints_sql("var_constraints", "size(body_rels)"))
+    place = F.row_number().over(Window.partitionBy("head_rel", "body_rels", key).orderBy(order))
     return rules.withColumn("place", place).where("place = 1").drop("place")
 
 
+def cleaning_counts(cleaned: DataFrame, original: DataFrame) -> DataFrame:
+    """(outcome, n) of cleaned lines: each error, kept (distinct rules) and new (kept ones that original lacks)."""
+    bad = cleaned.where("error is not null").groupBy(F.col("error").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    kept = cleaned.where("clean is not null").select(normal(F.col("clean")).alias("rule")).distinct()
+    new = kept.join(original.select(normal(F.col("rule")).alias("rule")).distinct(), "rule", "left_anti")
+    out = bad
+    for name, df in (("kept", kept), ("new", new)):
+        out = out.unionByName(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("outcome"), "n"))
+    return out
+
+
 def not_regenerated(original: DataFrame, new: DataFrame) -> DataFrame:
     """new rules, and the originals whose normal form isn't among them."""
     key = normal(F.col("rule"))

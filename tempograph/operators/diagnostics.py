@@ -93,3 +93,27 @@ def sample_cases(trace: DataFrame, k: int) -> DataFrame:
     error = (F.col("pred_top1") != F.col("gt_tail")).cast("int")
     order = Window.partitionBy("relation").orderBy(F.desc("is_error"), "qid")
     return trace.withColumn("is_error", error).withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
+
+
+def trace_of_candidates(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """A trace from candidates alone, where no trace was written: qid, gt_tail, pred_top1, cand_size, gt_rank."""
+    best = F.max_by("entity", F.struct("score", -F.col("entity")))
+    size = candidates.groupBy("qid").agg(F.count(F.lit(1)).alias("cand_size"), best.alias("pred_top1"))
+    own = queries.select("qid", F.col("obj").alias("entity")).join(candidates, ["qid", "entity"]).select("qid", F.col("score").alias("own"))
+    above = candidates.join(own, "qid").groupBy("qid").agg((F.sum((F.col("score") > F.col("own")).cast("long")) + 1).alias("gt_rank"))
+    out = queries.select("qid", F.col("obj").alias("gt_tail")).join(size, "qid", "left").join(above, "qid", "left")
+    return out.fillna(-1, ["pred_top1"]).fillna(0, ["cand_size"])
+
+
+def worst_with_popularity(diagnosis: DataFrame, popularity: DataFrame, k: int = 30) -> DataFrame:
+    """The worst relations with their popularity bias; null where none was measured."""
+    return worst_relations(diagnosis, k).join(popularity, "relation", "left")
+
+
+def evidence_bundle(trace: DataFrame, rules: DataFrame, train: DataFrame, k: int = 30) -> dict[str, DataFrame]:
+    """What a round's proposal reads: breakdown, worst relations with popularity, harmful and risky rules, cases."""
+    popularity = popularity_bias(trace, train)
+    return {
+        "breakdown": breakdown(trace), "worst_relations": worst_with_popularity(relation_diagnosis(trace), popularity, k),
+        "harmful_rules": harmful_rules(trace), "risky_rules": risky_rules(rules), "cases": sample_cases(trace, 20),
+    }

@@ -23,6 +23,7 @@ from tempograph.operators import profile as P
 from tempograph.operators import ranking as K
 from tempograph.operators import retrieval as M
 from tempograph.operators import sampling as S
+from tempograph.operators import selection as V
 from tempograph.operators import walks as J
 from tempograph.sources import quads as Q
 from tempograph.sources.store import kept
@@ -752,10 +753,11 @@ def rule_strings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(_STRINGS)), "id int, rule string")
 
 
-_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(trim(rule), '\s*<-\s*', '<-', 'g'), '\s*&\s*', '&', 'g'), ',\s+', ',', 'g')"
+# the normal forms, written out by hand
+_NORMAL = ("make_a_visit(X0,X2,T2) <- meet(X0,X1,T0)&Return,_release_person(s)(X1,X2,T1)", "A (X0, X1, T1) <- B(X0, X1, T0)", "Host(X0,X0,T3) <- a(X0,X1,T0)&b(X1,X2,T1)&c(X2,X0,T2)")
 
 
-@query(f"with r(id, rule) as (values {_STRING_ROWS}) select id, substr(sha1({_NORMAL}), 1, 12) as rule_id, len(string_split(string_split(rule, '<-')[2], '&'))::int as atoms from r")
+@query("select id, substr(sha1(rule), 1, 12) as rule_id, atoms::int as atoms from (values " + ", ".join(f"({i}, '{s}', {s.count('&') + 1})" for i, s in enumerate(_NORMAL)) + ") t(id, rule, atoms)")
 def x1_rule_id(spark, sf_dir):
     return rule_strings(spark).select("id", R.rule_id(F.col("rule")).alias("rule_id"), R.body_length(F.col("rule")).alias("atoms"))
 
@@ -767,18 +769,43 @@ def x4_parsed_rules(spark, sf_dir):
 
 
 @query(f"with {CONF} select rule_id, printf('%8.6f  %4d  %4d  ', conf, rule_supp, body_supp) || text as line from rules join (values "
-       + ", ".join(f"('{r}', '{t}')" for r, t in (("r1", "purchase(X0,X1,T1)<-click(X0,X1,T0)"), ("r3", "purchase(X0,X3,T3)<-view(X0,X1,T0)&inv_click(X1,X2,T1)&click(X2,X3,T2)"), ("r5", "purchase(X0,X3,T3)<-signup(X0,X1,T0)&inv_signup(X1,X0,T1)&purchase(X0,X3,T2)")))
+       + ", ".join(f"('{r}', '{t}')" for r, t in (("r1", "purchase(X0,X1,T1)<-click(X0,X1,T0)"), ("r3", "purchase(X0,X3,T3)<-view(X0,X1,T0)&inv_click(X1,X2,T1)&click(X2,X3,T2)"), ("r5", "purchase(X0,X2,T3)<-signup(X0,X1,T0)&inv_signup(X1,X0,T1)&purchase(X0,X2,T2)")))
        + ") t(rule_id, text) using (rule_id)")
 def x2_verbalised(spark, sf_dir):
     rules = rules_with_confidence(spark, sf_dir).where("rule_id in ('r1', 'r3', 'r5')")
-    return rules.select("rule_id", R.verbalised(R.canonical("head_rel", "body_rels")).alias("line"))
+    return rules.select("rule_id", R.verbalised(R.canonical("head_rel", "body_rels", arrow="<-")).alias("line"))
 
 
-@query("select part.p_partkey as id, lower(trim(regexp_replace(regexp_replace(p_type, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_./]+', ' ', 'g'))) as name from part")
+@query(r"select p_partkey as id, trim(regexp_replace(lower(regexp_replace(regexp_replace(p_type, '([A-Z])', ' \1', 'g'), '^ ', '')), '^$', '')) as name from (select p_partkey, case when contains(p_type, '/') or contains(p_type, '_') or contains(p_type, '&') then null else p_type end as p_type from part)")
 def x11_clean_names(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), R.clean_name(F.col("p_type")).alias("name"))
 
 
+_NAMES = (("_hypernym_", "hypernym"), ("member_of_domain", "member of domain"), ("isA&partOf", "isA partOf"), ("wasBornIn", "was born in"), ("/people/person", "born as"), ("inverse /people/person", "inverse born as"), ("a/b_c", "a/b_c"), ("ABC", "a b c"), ("_in_A", "in A"))
+
+
+@query("select * from (values " + ", ".join(f"({i}, '{b}')" for i, (_, b) in enumerate(_NAMES)) + ") t(id, name)")
+def x11_clean_name_forms(spark, sf_dir):
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(_NAMES)], "id int, raw string")
+    return rows.select("id", R.clean_name(F.col("raw"), {"/people/person": "born as"}).alias("name"))
+
+
+_TIED = ((0, ["b", "c", "d"], [[0, 2]], "h(X0,X2,T3) <- b(X0,X1,T0)&c(X1,X0,T1)&d(X0,X2,T2)"), (1, ["b", "c", "d"], [[1, 3]], "h(X0,X1,T3) <- b(X0,X1,T0)&c(X1,X2,T1)&d(X2,X1,T2)"), (2, ["b"], [], "h(X0,X1,T1) <- b(X0,X1,T0)"), (3, ["b", "c", "d"], [[1, 3], [2, 0]], "h(X0,X1,T3) <- b(X0,X1,T0)&c(X1,X0,T1)&d(X0,X1,T2)"))
+
+
+@query("select id, rule, substr(sha1(rule), 1, 12) as rule_id from (values " + ", ".join(f"({i}, '{t}')" for i, _, _, t in _TIED) + ") t(id, rule)")
+def x2_canonical(spark, sf_dir):
+    rows = spark.createDataFrame([(i, "h", b, g) for i, b, g, _ in _TIED], "id int, head string, body array<string>, var_constraints array<array<int>>")
+    return rows.withColumn("rule", R.canonical()).select("id", "rule", R.rule_id(F.col("rule")).alias("rule_id"))
+
+
+@query("select * from (values (0::bigint), (1), (3)) t(rule_order)")
+def u3_distinct_rules(spark, sf_dir):
+    rows = [(0, "h", ["b", "c"], [[0, 2]]), (1, "h", ["b", "c"], []), (2, "h", ["b", "c"], [[1], [2, 0]]), (3, "h", ["c", "b"], []), (4, "h", ["b", "c"], [[0], [1], [2]])]
+    rules = spark.createDataFrame(rows, "rule_order long, head_rel string, body_rels array<string>, var_constraints array<array<int>>")
+    return U.distinct_rules(rules).select("rule_order")
+
+
 @query(f"with {CONF} select len::bigint as length, count(*) as rules, count(distinct head_rel) as relations from rules group by 1")
 def a18_rule_lengths(spark, sf_dir):
     return U.length_counts(rules_with_confidence(spark, sf_dir))
@@ -815,3 +842,124 @@ def l_generated_rules(spark, sf_dir):
 def x31_within_length(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return R.within_length(rows, "c_nationkey", "c_custkey", "c_name", 100).select("c_nationkey", "c_custkey")
+
+
+# ---- subsets, lookups and frontiers
+
+QUADS2 = f"{ORDERS}, both_ways as (select sub, rel, obj, ts from quads union all select obj, rel + 1000, sub, ts from quads)"
+
+
+def both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.with_inverses(Q.quads_orders(spark, sf_dir), F.col("rel") + Q.INVERSE_OFFSET)
+
+
+@query(f"with {QUADS2} select rel, count(*) as n from both_ways where rel < 1000 group by 1")
+def f9_forward_queries(spark, sf_dir):
+    return V.forward(both_ways(spark, sf_dir), Q.INVERSE_OFFSET).groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {EVENTS}, {TESTQ} select * from testq where sub % 50 = 0")
+def f10_qid_subset(spark, sf_dir):
+    q = test_queries(spark, sf_dir)
+    return V.of_qids(q, q.where("sub % 50 = 0"))
+
+
+@query(f"with {QUADS2}, r as (select rel % 1000 as base_rel, ts % 13 + 1 as rank from both_ways where rel % 1000 in (65, 82)) select base_rel, count(*) as queries, round(avg((rank <= 1)::int), 6) as hits1, round(avg((rank <= 3)::int), 6) as hits3, round(avg((rank <= 10)::int), 6) as hits10, round(avg(1.0 / rank), 6) as mrr from r group by 1")
+def f11_folded_metrics(spark, sf_dir):
+    chosen = spark.createDataFrame([(65,), (1082,)], "rel long")
+    ranked = V.of_relations(both_ways(spark, sf_dir), chosen, Q.INVERSE_OFFSET).withColumn("rank", F.col("ts") % 13 + 1)
+    return K.hits_and_mrr(ranked, "rank", ["base_rel"])
+
+
+@query(f"with {QUADS2} select sub, rel, obj, ts from both_ways where rel < 1000 and ts % 50 = 0")
+def u6_forward_among_requested(spark, sf_dir):
+    q = both_ways(spark, sf_dir).withColumn("qid", F.xxhash64("sub", "rel", "obj", "ts"))
+    return V.requested(q, q.where("ts % 50 = 0"), Q.INVERSE_OFFSET).drop("qid")
+
+
+@query(f"with {EVENTS}, {TESTQ}, rows2 as (select user_id as sub, event_type as rel, regexp_extract(props, '\"k\": ?([0-9]+)', 1)::bigint as obj, date_diff('hour', timestamp '2024-01-01', ts)::bigint as ts, arg_min(value, event_id) as s from events where user_id % 3 > 0 group by 1, 2, 3, 4) select qid, coalesce(s, 0) as own, s is not null and s <> 0 as found from testq left join rows2 using (sub, rel, obj, ts)")
+def j8_baseline_rows(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 3 > 0")
+    hours = (F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")).cast("long")
+    rows = e.select(F.col("user_id").alias("sub"), F.col("event_type").alias("rel"), F.get_json_object("props", "$.k").cast("long").alias("obj"), hours.alias("ts"), F.array("value", F.lit(0.0)).alias("scores"), F.col("event_id").alias("pos"))
+    found = V.baseline_rows(test_queries(spark, sf_dir), rows, 2, missing="zeros")
+    return found.select("qid", F.col("scores")[0].alias("own"), (F.col("scores")[0] != 0).alias("found"))
+
+
+@query(f"""with {CANDS}, size as (select qid, count(*) as cand_size, arg_max(entity, (score, -entity)) as top from cands group by 1), gt as (select q.qid, count(*) filter (c.score > o.score) + 1 as gt_rank from testq q join cands o on o.qid = q.qid and o.entity = q.obj join cands c on c.qid = q.qid group by 1),
+trace as (select q.qid, q.obj as gt_tail, coalesce(top, -1) as pred_top1, coalesce(cand_size, 0) as cand_size, gt_rank from testq q left join size using (qid) left join gt using (qid))
+select {_BUCKET} as bucket, count(*) as n, round(count(*) / (select count(*) from trace), 6) as share, round(avg(gt_rank), 6) as mean_rank, round(quantile_cont(gt_rank, 0.5), 6) as median_rank, round(quantile_cont(gt_rank, 0.95), 6) as p95_rank from trace group by 1""")
+def a10_breakdown_without_trace(spark, sf_dir):
+    return D.breakdown(D.trace_of_candidates(candidate_scores(spark, sf_dir), test_queries(spark, sf_dir)))
+
+
+@query(f"""with {TRACE}, {_DIAG}, worst as (select * from diag order by nohit + wrong_top1 desc, n desc, relation limit 2), w as (select relation, pred_top1 as eid, count(*) as wrong, min(qid) as f from trace where pred_top1 <> gt_tail group by all), w2 as (select *, row_number() over (partition by relation order by wrong desc, f) as p from w),
+p as (select case when sub % 2 = 0 then 'even' else 'odd' end as relation, obj as eid, count(*) as n from base where rel = 'purchase' group by all), p2 as (select *, row_number() over (partition by relation order by n desc, eid) as train_rank from p),
+bias as (select relation, round(count(train_rank) / count(*), 6) as overlap_share from (select * from w2 where p <= 10) left join (select relation, eid, train_rank from p2 where train_rank <= 10) using (relation, eid) group by 1)
+select relation, n, wrong_top1, overlap_share from worst left join bias using (relation)""")
+def j14_worst_with_popularity(spark, sf_dir):
+    base = Q.background(events(spark, sf_dir), "train").where("rel = 'purchase'")
+    side = base.withColumn("rel", F.when(F.col("sub") % 2 == 0, "even").otherwise("odd"))
+    t = trace(spark, sf_dir)
+    return D.worst_with_popularity(D.relation_diagnosis(t), D.popularity_bias(t, side), 2).select("relation", "n", "wrong_top1", "overlap_share")
+
+
+@query("select * from (values ('no chain', 1::bigint), ('time order', 1), ('no atom', 1), ('unknown relation', 1), ('time is no number', 1), ('kept', 1), ('new', 0)) t(outcome, n)")
+def a24_cleaning_counts(spark, sf_dir):
+    lines = spark.createDataFrame(list(enumerate(_LINES)), "id int, rule string")
+    original = spark.createDataFrame([("purchase(X0,X1,T1) <- click(X0,X1,T0)",)], "rule string")
+    return U.cleaning_counts(U.clean_rules(lines, list(RELATIONS)), original)
+
+
+@query("select head, rule, (row_number() over (partition by head order by rule) - 1)::bigint as place from (select c_nationkey as head, c_mktsegment as rule from customer union select s_nationkey, s_name from supplier)")
+def u5_final_rules(spark, sf_dir):
+    low = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("head"), F.col("c_mktsegment").alias("rule"))
+    high = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("head"), F.col("s_name").alias("rule"))
+    return V.final_rules(low, high)
+
+
+@query(f"with {TRAIN}, h0 as (select 0 as hop, * from facts where rel = 'view' and sub in (select sub from base where sub % 50 = 0)), h1 as (select 1 as hop, * from facts where rel = 'inv_click' and sub in (select obj from h0)) select hop, sub, rel, obj, ts from h0 union all select hop, sub, rel, obj, ts from h1")
+def j1_frontier(spark, sf_dir):
+    facts = train(spark, sf_dir)
+    starts = Q.background(events(spark, sf_dir), "train").where("sub % 50 = 0")
+    return V.frontier(facts, starts, ["view", "inv_click"])
+
+
+@query(f"with {TRAIN} select a.rel as r0, b.rel as r1, count(*) as n, max(b.ts) as last from facts a join facts b on b.sub = a.obj and b.ts >= a.ts where a.sub in (select sub from base where sub % 50 = 0) group by all")
+def j5_complete_walks(spark, sf_dir):
+    starts = Q.background(events(spark, sf_dir), "train").where("sub % 50 = 0")
+    return V.complete_walks(train(spark, sf_dir), starts, 2).groupBy("r0", "r1").agg(F.count(F.lit(1)).alias("n"), F.max("t1").alias("last"))
+
+
+@query("with r as (select o_custkey, o_orderpriority, arg_min(o_orderstatus, o_orderkey) as status from orders where o_orderstatus <> 'O' group by all) select o_orderkey, status from orders left join r using (o_custkey, o_orderpriority)")
+def j10_with_rows(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.where("o_orderstatus <> 'O'").select("o_custkey", "o_orderpriority", F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("place_in_file"))
+    return V.with_rows(orders.select("o_orderkey", "o_custkey", "o_orderpriority"), rows, ["o_custkey", "o_orderpriority"], "place_in_file").select("o_orderkey", "status")
+
+
+@query("select n_nationkey as head, n_nationkey in (select c_nationkey from customer where c_acctbal > 9000) as has_paths from nation")
+def u7_heads_by_paths(spark, sf_dir):
+    heads = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("head"))
+    return V.by_paths(heads, spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("head")))
+
+
+@query(f"with {EVENTS} select a.rel, b.rel as other from quads a join quads b on a.sub = b.sub and a.obj = b.obj and a.ts = b.ts and a.rel <> b.rel union select 'click', 'view'")
+def u8_candidate_relations(spark, sf_dir):
+    q = Q.quads_events(spark, sf_dir)
+    seen = q.join(q.withColumnRenamed("rel", "other"), ["sub", "obj", "ts"]).select("rel", "other")
+    return V.candidate_relations(spark.createDataFrame([("click", "view"), ("view", "view")], "rel string, other string"), seen)
+
+
+@query("select * from (values (0, '2,25,1'), (1, '0'), (2, '3,')) t(id, rels)")
+def x6_indexed_paths(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("id"))
+    first = {r["id"]: r["name"] for r in names.where("id < 4").collect()}
+    paths = spark.createDataFrame([(0, f"{first[2]}|inv_{first[0]}|{first[1]}"), (1, first[0]), (2, f"{first[3]}|unknown")], "id int, path string")
+    found = V.indexed(paths, Q.relations_with_inverses(names).select("name", "id"))
+    return found.select("id", F.array_join(F.transform("rels", lambda r: F.coalesce(r.cast("string"), F.lit(""))), ",").alias("rels"))
+
+
+@query(f"with {TRIPLES} select head, count(distinct tail) as n, sum(distinct tail)::bigint as total from tri group by 1")
+def g2_descendants(spark, sf_dir):
+    return V.descendants(triples(spark, sf_dir)).select("head", F.size("tails").cast("long").alias("n"), F.aggregate("tails", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))

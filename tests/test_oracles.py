@@ -26,7 +26,7 @@ def plain(x):
         return x
     if isinstance(x, (int, float)) or type(x).__name__ == "Decimal":
         x = float(x)
-        return None if math.isnan(x) else round(x, 5) + 0.0
+        return None if math.isnan(x) else round(x, 8) + 0.0
     return str(x)
 
 
