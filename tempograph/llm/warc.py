@@ -1,7 +1,7 @@
 """WARC records in ZIP-packaged archives, read by ranges and never extracted.
 
-An archive is a ZIP file with two stored members: archive/data.warc, the records one after another, and
-indexes/index.cdx, one line "record-id offset length" per record. Tasks write archives as files into the shared folder, each
+An archive is a ZIP file with two stored members: archive/data.warc.gz, the records one after another, each a gzip member of
+its own, and indexes/index.cdx, one line "record-id offset length" per record. Tasks write archives as files into the shared folder, each
 under a name of its own, and the table of the paths names those of the attempts that succeeded. The reader opens a file where
 it lies, finds the end-of-central-directory record (and through its locator the ZIP64 one), parses the central directory with
 its ZIP64 extra fields, turns a member into an absolute range by its local header, and reads records by the index, neighbours
@@ -18,6 +18,7 @@ target header; rows with equal page_id and payload are all alike, responses or r
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import itertools
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tempograph.llm.common import new_path, opened, small_batches, stored
 
-DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_SCHEMA = "path string, records long, bytes long"
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -190,8 +191,9 @@ def archive(records: list[tuple[int | None, bytes]]) -> bytes:
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
         with z.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as f:
             for page_id, data in records:
-                index.append(f"{record_id(page_id)} {at} {len(data)}\n")
-                at += f.write(data)
+                packed = gzip.compress(data, 1, mtime=0)
+                index.append(f"{record_id(page_id)} {at} {len(packed)}\n")
+                at += f.write(packed)
         z.writestr(zipfile.ZipInfo(INDEX), "".join(index))
     return out.getvalue()
 
@@ -212,7 +214,7 @@ def records_of(source, span: int = 1_000_000) -> Iterator[tuple]:
             end, stop = end + ranges[stop][1], stop + 1
         data = memoryview(source.read(start + begin, end - begin))
         for offset, n in ranges[at:stop]:
-            yield parse(bytes(data[offset - begin : offset - begin + n]))
+            yield parse(gzip.decompress(data[offset - begin : offset - begin + n]))
         at = stop
 
 

@@ -1,6 +1,8 @@
 import base64
+import gzip
 import hashlib
 import io
+import random
 import zipfile
 
 import pytest
@@ -57,19 +59,25 @@ def test_pages(spark, tmp_path):
 
 
 def test_damage_is_noticed():
-    data = w.archive([(1, w.record(1, None, b"payload", None, False))]).replace(b"payload", b"Payload")
+    whole = w.record(1, None, b"payload", None, False)
+    assert w.parse(whole)[2] == 7
     with pytest.raises(ValueError):
-        list(w.records_of(w.Bytes(data)))
+        w.parse(whole.replace(b"payload", b"Payload"))
+    data = bytearray(w.archive([(1, whole)]))
+    z = w.ZipIndex(w.Bytes(bytes(data)))
+    data[z.start_of(w.DATA) + z.members[w.DATA].size - 6] ^= 1  # in the gzip member's checksum
+    with pytest.raises(OSError):
+        list(w.records_of(w.Bytes(bytes(data))))
 
 
 def test_only_ranges_are_read(tmp_path):
-    data = [w.record(i, None, bytes([65 + i % 26]) * 300_000, None, False) for i in range(40)]
+    data = [w.record(i, None, random.Random(i).randbytes(300_000), None, False) for i in range(40)]
     (tmp_path / "a.zip").write_bytes(w.archive(list(enumerate(data))))
     source = w.File(str(tmp_path / "a.zip"))
     z = w.ZipIndex(source)
     start = z.start_of(w.DATA)
     third = z.read(w.INDEX, 0, z.members[w.INDEX].size).decode().splitlines()[3].split()
-    assert w.parse(source.read(start + int(third[-2]), int(third[-1])))[0] == 3
+    assert w.parse(gzip.decompress(source.read(start + int(third[-2]), int(third[-1]))))[0] == 3
     assert source.bytes_read < 500_000 < 12_000_000 < source.size
     assert [r[0] for r in w.records_of(w.File(f"file://{tmp_path}/a.zip"))] == list(range(40))
 
