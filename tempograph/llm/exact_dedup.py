@@ -10,7 +10,8 @@
 
 Texts are equal when identical after lower-casing A-Z. Of equal texts the largest doc_id stays.
 Cases: a null text counts as empty; equal doc_ids with equal texts all count and are all marked alike; a null doc_id never
-wins against another; an empty table gives no rows; other columns are left out.
+wins against another; a very long text is one row, hashed whole; ties are rows of one text, of which the largest doc_id stays; an
+empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ Hessians of the log loss. The fitted trees are flattened into arrays and all doc
 
 Cases: a null or empty text has zero statistics and gets a score; null labels are left out and repeated ones count as their
 mean; without labels of both kinds the score is the smoothed share of label 1; an empty table gives no rows; every row gives
-one row; other columns are left out. The score of a text depends on the text alone.
+one row, repeated rows too; a very long text is one row of statistics, in linear time; rows of equal hash are taken by doc_id;
+other columns are left out. The score of a text depends on the text alone.
 """
 
 from __future__ import annotations
@@ -151,7 +152,16 @@ def scored(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, most_r
     measured = stored(ids_and_text(docs, id_col, text_col).mapInArrow(measure, "doc_id long, x binary"), "statistics")
     known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    sample = measured.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).select("x", "quality").toPandas()
+    known = stored(known.withColumn("h", F.xxhash64("doc_id")), "labels")
+    share = 2 * most_rows / max(1, known.count())
+    if share < 1:  # the rows below come from this share of the hashes; the top-k then gets few more rows than it keeps
+        low = known.where(F.col("h") < int(-(1 << 63) + share * (1 << 64)))
+        found = measured.join(low, "doc_id")
+        if found.limit(most_rows).count() < most_rows:  # labels of other documents
+            found = measured.join(known, "doc_id")
+    else:
+        found = measured.join(known, "doc_id")
+    sample = found.orderBy("h", "doc_id").limit(most_rows).select("x", "quality").toPandas()
     x = np.frombuffer(b"".join(map(bytes, sample["x"])), np.float64).reshape(-1, len(STATISTICS))
     trees = fit(x, sample["quality"].to_numpy(np.float64))
 
