@@ -30,6 +30,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """stored(), but outside any scratch(): the table and its path, for the caller to delete."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage is cut there, and no executor's loss costs it."""
     spark = df.sparkSession
