@@ -1,11 +1,15 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept, written as Parquet in the shared folder between them."""
+"""The corpus pipeline: each stage works on all that its predecessor kept, written as Parquet in the shared folder between them.
+
+Null, empty and very long texts, ties, repeated rows, empty tables and clashing column names are treated as the stages'
+operators state; a row with a null doc_id always stays, since no stage can name it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tempograph.llm import decontamination, exact_dedup, near_dedup, packing, quality
-from tempograph.llm.common import stored, table
+from tempograph.llm.common import delete, scratch, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's tables, and its predecessor's documents, are deleted once its own are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
