@@ -68,6 +68,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark gives one without."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toString()
+
+
 def opened(path: str):
     """(file system, path in it) of a URI, for Python workers. Hadoop's s3a is Arrow's s3."""
     from pyarrow import fs

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import new_path, opened, small_batches, stored
+from tempograph.llm.common import new_path, opened, qualified, small_batches, stored
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -221,7 +221,7 @@ def records_of(source, span: int = 1_000_000) -> Iterator[tuple]:
 def write_archives(pages: DataFrame, *, archive_bytes: int = 8_000_000, min_bytes: int = 0) -> DataFrame:
     """Writes archives as files into the shared folder and returns their table: path, records, bytes."""
     spark = pages.sparkSession
-    folder = new_path(spark, "warc")
+    folder = qualified(spark, new_path(spark, "warc"))
     small_batches(spark, 500)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
