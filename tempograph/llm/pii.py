@@ -9,7 +9,7 @@ candidates; what the driver gets is the count of each feature pattern, whose num
 (kinds x 3^labelers x shapes), never by the data.
 
 Cases: a null text counts as empty; every row gives one row, repeated rows too; an empty table gives no rows; long texts are
-scanned whole in linear time; other columns are left out.
+scanned whole in linear time; a null doc_id stays null; other columns are left out.
 """
 
 from __future__ import annotations
@@ -75,6 +75,8 @@ KINDS = ("secret", "name", "address", "national_id", "iban", "phone", "email")
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora", "Sr", "Sra")
 FIRST_NAMES = frozenset("Anna Anne Carlos Charles Christian David Elena Elizabeth Emily Emma Eva Hans Isabel James Jan Jean John José Juan Julia Karl Klaus Laura Linda Louis Lucas Luis Maria Marie Mark Martin Mary Michael Miguel Paul Pedro Peter Pierre Robert Sarah Sophie Susan Thomas Ursula William".split())
 STREETS = frozenset("street st avenue ave road rd lane ln drive dr boulevard blvd court ct way square straße strasse weg platz allee rue calle avenida plaza".split())
+#: Street words that have other meanings too: a gazetteer doesn't vouch for them.
+DOUBTFUL_STREETS = frozenset("st drive dr court ct way square platz weg plaza place rue calle".split())
 SECRET_WORDS = frozenset("password passwd pwd secret token apikey api_key api-key access_key auth bearer credential credentials private_key passphrase kennwort passwort contraseña".split())
 CUES = {
     "secret": SECRET_WORDS | frozenset("key login pin".split()),
@@ -94,10 +96,11 @@ LONG_TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{12,}+")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}")
+REACH = 44  # one more than the longest national id, phone or IBAN, which begin in a token with a digit
+#: What is assigned to a secret's name, be it letters alone.
+ASSIGNED = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(SECRET_WORDS - {"auth", "bearer"}, key=len, reverse=True)) + r")[\"']?\s*+[=:]\s*+[\"']?([^\s\"',;]{4,}+)", re.I)
 ADDRESS = re.compile(r"(?<!\S)[0-9]{1,5}((?: [^\W\d_]+){2,4})")
 DISGUISED = re.compile(r"[\[(] ?at ?[\])]", re.I)
-DISGUISED_LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?$")
 DISGUISED_RIGHT = re.compile(r" ?[A-Za-z0-9-]+(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+", re.I)
 TITLED = re.compile(r"(?<!\w)(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ([A-ZÀ-Þ][^\W\d_]+(?: [A-ZÀ-Þ][^\W\d_]+)?)")
 NAMED = re.compile(r"(?<!\w)(?:" + "|".join(sorted(FIRST_NAMES)) + r") [A-ZÀ-Þ][^\W\d_]+")
@@ -118,13 +121,18 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     """(kind, start, end, features) of spans that touch no base span and not each other; the patterns' order decides."""
     found: list[tuple[str, int, int]] = []
     for m in DISGUISED.finditer(text):
-        left, right = DISGUISED_LEFT.search(text, max(0, m.start() - 66), m.start()), DISGUISED_RIGHT.match(text, m.end())
-        if left and right:
-            found.append(("email", left.start(), right.end()))
+        stop = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        start = stop
+        while start > 0 and text[start - 1] in LOCAL:
+            start -= 1
+        right = DISGUISED_RIGHT.match(text, m.end())
+        if start < stop and right:
+            found.append(("email", start, right.end()))
+    found += [("secret", *m.span(1)) for m in ASSIGNED.finditer(text)]
     tokens = []
     for m in DIGIT_TOKEN.finditer(text):
         start = m.start()
-        while start > 0 and start > m.start() - 200 and not text[start - 1].isspace():
+        while start > 0 and not text[start - 1].isspace():  # a token has one first digit, so no stretch is walked twice
             start -= 1
         tokens.append((start, m.end()))
     if tokens:
@@ -135,8 +143,8 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
                     found.append(("secret", *m.span()))
         for kind, pattern in (("national_id", NATIONAL), ("phone", LOCAL_PHONE), ("iban", IBAN)):
             for start, end in tokens:
-                for m in pattern.finditer(text, max(0, start - 6), min(len(text), end + 44)):
-                    if m.start() <= end and m.end() > start:
+                for m in pattern.finditer(text, start, min(len(text), end + REACH)):
+                    if m.start() < end:
                         found.append((kind, *m.span()))
         for start, end in tokens:
             if end - start <= 5 and (m := ADDRESS.match(text, start)):
@@ -172,14 +180,28 @@ def features(text: str, kind: str, start: int, end: int) -> str:
     def vote(name: str, yes: bool, no: bool = False) -> None:
         votes[LABELERS.index(name)] = "+" if yes else "-" if no else "0"
 
-    vote("shape", {"secret": bool(re.fullmatch(r"[0-9a-f]{16,}|[0-9A-Z]{16,}|[A-Za-z0-9_+/=-]{20,}", span)), "name": " " in span, "address": True, "national_id": True, "iban": True, "phone": True, "email": "dot" in span.lower()}[kind], kind == "secret" and "-" in span)
+    if kind == "secret":
+        vote("shape", bool(re.fullmatch(r"[0-9a-f]{16,}|[0-9A-Z]{16,}|[A-Za-z0-9_+/=-]{20,}", span)), "-" in span)
+    elif kind == "name":
+        vote("shape", " " in span)
+    elif kind == "address":  # capitals in all its words, in none, or in some
+        capitals = [w[:1].isupper() for w in span.split(" ")[1:]]
+        vote("shape", all(capitals), not any(capitals))
+    elif kind in ("phone", "national_id"):  # the same mark between its parts, and no digits glued to it
+        marks = re.sub(r"[0-9()]", "", span)
+        vote("shape", len(set(marks)) == 1, len(set(marks)) > 1)
+    elif kind == "iban":  # in fours or without spaces
+        parts = span.split(" ")
+        vote("shape", len(parts) == 1 or all(len(x) == 4 for x in parts[:-1]), True)
+    else:
+        vote("shape", "dot" in span.lower())
     if kind == "iban":
         vote("checksum", iban_ok(span), True)
     elif kind == "national_id":
         vote("checksum", span[:3] not in ("000", "666") and span[0] != "9" and span[4:6] != "00" and span[7:] != "0000", True)
     if kind == "secret":
         vote("entropy", entropy(span) > 3.0 and digits >= 3, entropy(span) < 2.5)
-    vote("gazetteer", {"name": span.split(" ")[0] in FIRST_NAMES, "address": True, "secret": bool(words) and words[-1] in SECRET_WORDS}.get(kind, False))
+    vote("gazetteer", {"name": span.split(" ")[0] in FIRST_NAMES, "address": span.split(" ")[-1].lower() not in DOUBTFUL_STREETS, "secret": bool(words) and words[-1] in SECRET_WORDS}.get(kind, False))
     vote("assigned", kind != "name" and bool(re.search(r"[=:]\s*[\"']?$", before)))
     vote("cue_before", any(w in CUES[kind] for w in words), False)
     vote("against_before", False, any(w in AGAINST for w in words[-2:]))
@@ -232,7 +254,7 @@ def classifier(counts: dict[str, int], soft: dict[str, float], rounds: int = 500
     if not keys:
         return {}
     x, y = design(keys), np.array([soft[k] for k in keys])
-    w = np.minimum(np.array([counts[k] for k in keys], float), 1e4)
+    w = np.array([counts[k] for k in keys], float)
     beta = np.zeros(x.shape[1])
     for _ in range(min(rounds, 50)):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -285,7 +307,7 @@ def find(docs: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", tex
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """The contract's columns from find()'s rows."""
+    """The contract's columns from find()'s rows, and n_spans, the number of all spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,11 +315,11 @@ def digests(found: DataFrame) -> DataFrame:
             for spans in batch.column(1).to_pylist():
                 every = [(x["kind"], x["s"], x["e"]) for x in spans]
                 base = [s for s, x in zip(every, spans) if x["base"]]
-                rows.append([sum(k == b for k, _, _ in base) for b in BASE] + [hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)])
-            columns = [batch.column(0)] + [pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(6)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{b}" for b in BASE), "base_sha256", "spans"])
+                rows.append([sum(k == b for k, _, _ in base) for b in BASE] + [hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every)])
+            columns = [batch.column(0)] + [pa.array([r[i] for r in rows], pa.string() if i in (4, 5) else pa.int64()) for i in range(7)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"n_{b}" for b in BASE), "base_sha256", "spans", "n_spans"])
 
-    return found.select("doc_id", "spans").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.select("doc_id", "spans").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:

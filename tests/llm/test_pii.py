@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -55,3 +56,62 @@ def test_estimation_finds_the_reliable_labelers():
 @pytest.mark.parametrize("text, want", [("12 Main Street in Springfield", "12 Main Street"), ("lives at 40 Oak Avenue and works", "40 Oak Avenue"), ("at 7 Old Mill Road.", "7 Old Mill Road"), ("in 12 Court Main Street we", "12 Court Main Street"), ("5 apples and pears there", None)])
 def test_addresses_in_prose(text, want):
     assert [text[s:e] for kind, s, e, _ in p.candidates(text, []) if kind == "address"] == ([want] if want else [])
+
+
+def test_digests_by_brute_force(spark):
+    """Counts, hash and the base spans in spans, from the plain patterns; repeated rows and null ids keep their rows."""
+    texts = ["card 4111 1111 1111 1111, ip 10.0.0.1 and a@b.co", "a@b.co +1 (988) 555-2485 4111111111111112", "999.1.1.1 x", "", None, "ä 4111-1111-1111-1111 é@x.y a.b%c@d-e.f.g +49.30.1234567 1.2.3.4.5.6.7.8"]
+    rows = [*enumerate(texts), (0, texts[0]), (None, texts[1])]
+    got = p.digests(p.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    want = []
+    for i, text in rows:
+        base = plain(text or "")
+        digest = hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        want.append((str(i), *(sum(k == b for k, _, _ in base) for b in p.BASE), digest))
+    assert sorted((str(x.doc_id), x.n_email, x.n_ip, x.n_card, x.n_phone, x.base_sha256) for x in got) == sorted(want)
+    assert sum(x.n_card for x in got) == 3  # two texts, one of them twice
+    assert all(x.n_spans == len([s for s in x.spans.split(",") if s]) for x in got)
+    for x in got:
+        text = texts[x.doc_id] if x.doc_id is not None else texts[1]
+        assert {f"{k}:{s}:{e}" for k, s, e in plain(text or "")} <= set(x.spans.split(","))
+
+
+def planted(r):
+    """A text, and its added spans' places."""
+    name = r.choice(["Anna", "Peter", "Maria", "Hans"]) + " " + r.choice(["Smith", "Keller", "Rossi", "Brown"])
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    digits = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    kinds = [
+        ("name", "yours sincerely, ", name), ("address", "she lives at ", f"{r.randint(1, 999)} {word(5).title()} {r.choice(['Street', 'Avenue', 'Road'])}"),
+        ("secret", "password = ", word(11)), ("secret", "token: ", "".join(r.choice("0123456789abcdef") for _ in range(32))),
+        ("phone", "call ", f"{digits(3)}-{digits(3)}-{digits(4)}"), ("national_id", "ssn ", f"1{digits(2)}-{digits(2)}-{digits(4)}"),
+        ("email", "write to ", f"{word(5)}.{word(6)} [at] {word(7)} [dot] org"),
+    ]
+    text, spans = "", set()
+    for _ in range(6):
+        text += " ".join(word(r.randint(2, 9)) for _ in range(12)) + ". "
+        if r.random() < 0.5:
+            kind, before, span = r.choice(kinds)
+            text += before
+            spans.add(f"{kind}:{len(text)}:{len(text) + len(span)}")
+            text += span + " and "
+        elif r.random() < 0.5:  # looks alike and is none
+            text += r.choice([f"order no {digits(3)} {digits(3)}-{digits(4)} is", f"isbn {digits(3)}-{digits(2)}-{digits(4)} is", f"{digits(2)} red boats on the way home"]) + " "
+    return text, spans
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    r = random.Random(3)
+    made = [planted(r) for _ in range(600)]
+    rows = p.digests(p.find(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string"))).collect()
+    found = {(x.doc_id, s) for x in rows for s in x.spans.split(",") if s}
+    want = {(i, s) for i, (_, spans) in enumerate(made) for s in spans}
+    right = len(found & want)
+    assert right >= 0.9 * len(found) and right >= 0.9 * len(want)
+
+
+def test_no_limits_by_length():
+    long = "x" * 5000
+    text = f"{long}7{long} {long} [at] mail [dot] org password: {'q' * 3000} end"
+    kinds = {(kind, text[s:e][:3], e - s) for kind, s, e, _ in p.candidates(text, [])}
+    assert ("secret", "xxx", 10001) in kinds and ("email", "xxx", 5020) in kinds and ("secret", "qqq", 3000) in kinds
