@@ -57,12 +57,13 @@ def owner_base(owner: int, owners: int) -> int:
 
 
 def sender_rows(sender: int, doc_ids: list, hashes: list[bytes], owners: int) -> Iterator[tuple]:
-    """The ledger, then a message for each owner."""
+    """The ledger (its remainders say which ids are null), then a message for each owner."""
     table = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 32)
     prints = np.ascontiguousarray(table[:, :8]).view(">u8").ravel().astype(np.uint64)
     order = np.argsort(prints, kind="stable")
-    ids = np.array([x if x is not None else -(1 << 63) for x in doc_ids], "<i8")[order]
-    yield sender, None, ids.tobytes(), table[order].tobytes(), len(ids), None, None, None
+    ids = np.array([x or 0 for x in doc_ids], "<i8")[order]
+    unset = np.packbits(np.array([x is None for x in doc_ids])[order]).tobytes()
+    yield sender, None, ids.tobytes(), table[order].tobytes(), len(ids), None, None, unset
     distinct = np.unique(prints)
     bases = np.array([owner_base(o, owners) for o in range(owners)], np.uint64)
     split = np.searchsorted(distinct, bases, "left").tolist() + [len(distinct)]
@@ -123,13 +124,14 @@ def exact_duplicates(docs: DataFrame, *, sender_docs: int = 65_536, id_col: str
         _, where, count = np.unique(prints, return_inverse=True, return_counts=True)
         suspect = (np.concatenate(bits).astype(bool) | (count > 1))[where]
         hexes = hashes.hex()
+        unset = [np.unpackbits(np.frombuffer(b, np.uint8))[:n] for n, b in zip(ledgers.column("n").to_pylist(), ledgers.column("remainders").to_pylist())]
         return pa.table({
-            "doc_id": pa.array(ids, pa.int64(), mask=ids == -(1 << 63)),
+            "doc_id": pa.array(ids, pa.int64(), mask=np.concatenate(unset).astype(bool)),
             "text_sha256": pa.array([hexes[i : i + 64] for i in range(0, len(hexes), 64)], pa.string()),
             "suspect": pa.array(suspect, pa.bool_()),
         })
 
-    ledgers = sent.where("owner is null").select("sender", "doc_ids", "hashes")
+    ledgers = sent.where("owner is null").select("sender", "doc_ids", "hashes", "n", "remainders")
     marked = ledgers.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInArrow(mark, "doc_id long, text_sha256 string, suspect boolean")
     marked = stored(marked, "suspects")
 

@@ -40,3 +40,10 @@ def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a"), (None, "z")], "doc_id long, text string")
     got = sorted(((x.doc_id, x.keep_id, x.group_size, x.kept) for x in e.exact_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True), (None, None, 1, True)], key=str)
+
+
+def test_the_least_id_is_no_null(spark):
+    least = -(1 << 63)
+    df = spark.createDataFrame([(least, "a"), (None, "b"), (least, "c"), (7, "c")], "doc_id long, text string")
+    got = sorted(((x.doc_id, x.keep_id, x.group_size, x.kept) for x in e.exact_duplicates(df).collect()), key=str)
+    assert got == sorted([(least, least, 1, True), (None, None, 1, True), (least, 7, 2, False), (7, 7, 2, True)], key=str)
