@@ -17,7 +17,8 @@ A text's windows come from one expression whose parts are bound by let(), as Spa
 place that uses it, and so compute it once for every window.
 
 Cases: null, empty and word-less texts and items match nothing; template windows with fewer than half their tokens literal are no join
-keys, but count beside one that is; a very long text is one row of arrays, its time is linear in its words; equal doc_ids and
+keys, but count beside one that is; a very long text is one row of arrays, its time is linear in its words
+(and its alignments with an item are one array beside it); equal doc_ids and
 repeated rows get the items of all their rows that hold them; a null doc_id is treated as an id; ties don't occur, as all items
 of a document are returned; empty tables give no rows; other columns are left out.
 """
@@ -142,9 +143,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_
     ids = hits.select("of").distinct()
     suspects = texts.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
     own = stored(template(suspects).select("doc_id", F.col("pairs").alias("typed"), "words"), "suspected-texts")
-    both = own.join(hits, F.col("doc_id").eqNullSafe(F.col("of"))).join(items.select("item_id", "exact", "pairs", "width", "item_windows"), ["item_id", "exact"])
+    # one row per text and item, as a very long text may have as many alignments with an item as words
+    of_item = hits.groupBy("of", "item_id", "exact").agg(F.collect_list("shift").alias("shifts"))
+    both = own.join(of_item, F.col("doc_id").eqNullSafe(F.col("of"))).join(items.select("item_id", "exact", "pairs", "width", "item_windows"), ["item_id", "exact"])
     # words' windows were numbered after the row's typed ones
-    both = both.withColumn("shift", F.expr("shift - if(exact, greatest(0, size(typed) - width + 1), 0)"))
+    both = both.withColumn("shifts", F.expr("transform(shifts, x -> x - if(exact, greatest(0, size(typed) - width + 1), 0))"))
     same = "forall(sequence(k, k + width - 1), j -> get(pairs, j).t <=> get(own, j + shift).t)"
     stretch = "array_distinct(flatten(transform(covered, k -> sequence(k, k + width - 1))))"
     slot = f"filter({stretch}, j -> get(pairs, j).t in {PLACEHOLDERS})"
@@ -153,7 +156,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, min_
     found = let("covered", f"filter(sequence(0, size(pairs) - width), k -> {same})", f"named_struct('windows', cast(size(covered) as long), 'map', {values})")
     found = let("found", found, let("map", "found.map", f"named_struct('windows', found.windows, {of_map})"))
     own_tokens = "if(exact, transform(words, w -> named_struct('t', w, 'r', w)), typed)"
-    checked = both.select("doc_id", "item_id", "width", "item_windows", F.expr(let("own", own_tokens, found)).alias("found"))
+    every_found = let("own", own_tokens, f"transform(shifts, shift -> {found})")
+    checked = both.select("doc_id", "item_id", "width", "item_windows", F.explode(F.expr(every_found)).alias("found"))
     checked = stored(checked.select("doc_id", "item_id", "width", "item_windows", "found.*"), "checked-hits")
     checked = checked.where("windows > 0 and " + enough.format("windows", min_share, long_run)).where(F.col("slots") >= F.col("values") * min_consistent)
     return checked.select("doc_id", "item_id", "windows", "item_windows", "slots", "changed")
