@@ -79,6 +79,12 @@ def predicted(scores: DataFrame) -> DataFrame:
     return scores.groupBy("qid").agg(best.alias("pred_top1"), F.max("score").alias("top_score"))
 
 
+def predicted_by(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(qid, a column for each name): the best candidate at its weight, in one pass over the fused scores."""
+    best = F.struct("score", -F.col("entity"))
+    return scores.groupBy("qid").agg(*[F.max_by("entity", F.when(F.col("w") == w, best)).alias(name) for name, w in weights.items()])
+
+
 def dense_ranks(scores, answer: int, exclude: list[int] | None = None) -> dict[str, int]:
     """The other rank definitions on one dense score vector: ill, harsh, balance and random (which draws nothing)."""
     import numpy as np
