@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -70,11 +71,11 @@ class ChunkedBPE:
         pieces = PIECES(" " + " ".join(chunks))
         found = self.pieces.known(pieces)
         tokenize = self.tokenizer.model.tokenize
-        new = {}
-        for piece in dict.fromkeys([p for p, ids in zip(pieces, found) if ids is None]):
-            letters = "Ġ" + piece[1:] if piece[0] == " " and piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_ALPHABET)
-            new[piece] = array("I", [t.id for t in tokenize(letters)]).tobytes()
-        if new:
+        unknown = list(dict.fromkeys([p for p, ids in zip(pieces, found) if ids is None]))
+        if unknown:
+            tokens = [tokenize("Ġ" + p[1:] if p[0] == " " and p.isascii() else p.encode().decode("latin-1").translate(BYTE_ALPHABET)) for p in unknown]
+            ids, ends = array("I", [t.id for ts in tokens for t in ts]).tobytes(), [4 * n for n in accumulate(map(len, tokens))]
+            new = {p: ids[a:b] for p, a, b in zip(unknown, [0, *ends], ends)}
             self.pieces.update(new)
             found = [new[p] if ids is None else ids for p, ids in zip(pieces, found)]
         last = np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1))
@@ -115,7 +116,7 @@ class ChunkedBPE:
             return []
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         codes = split.values.dictionary_encode()
-        offsets, index, distinct = split.offsets.to_numpy(), codes.indices.to_numpy().astype(np.int64), codes.dictionary.to_pylist()
+        offsets, index, distinct = split.offsets.to_numpy(), codes.indices.to_numpy().astype(np.int64), codes.dictionary.to_numpy(zero_copy_only=False).tolist()
         odd = pc.or_(pc.equal(codes.dictionary, ""), pc.not_equal(codes.dictionary, pc.utf8_trim_whitespace(codes.dictionary))).to_numpy(zero_copy_only=False)
         if odd.any():  # these texts have spaces that part nothing
             rows = np.unique(np.searchsorted(offsets, np.flatnonzero(odd[index]), "right") - 1).tolist()

@@ -91,13 +91,17 @@ def grammar(ids: np.ndarray, first: int, least: int) -> tuple[np.ndarray, np.nda
             break
         ranks = np.full(len(seq) + 1, NEVER, np.int32)  # ranks[i + 1]: of the pair at i
         ranks[place + 1] = np.where(rank < n, rank, NEVER)
-        chosen = []
+        chosen, few = [], 8 * len(place) < len(seq)
         for _ in range(PASSES):
-            own = ranks[1:-1]
-            won = np.flatnonzero((own < ranks[:-2]) & (own < ranks[2:]))
+            if few:  # the same test at the ranked places alone
+                own = ranks[place + 1]
+                won = place[(own < ranks[place]) & (own < ranks[place + 2])]
+            else:
+                own = ranks[1:-1]
+                won = np.flatnonzero((own < ranks[:-2]) & (own < ranks[2:]))
             if not len(won):
                 break
-            chosen.append((won, own[won]))
+            chosen.append((won, ranks[won + 1]))
             ranks[won], ranks[won + 1], ranks[won + 2] = NEVER, NEVER, NEVER
         where, rule = (np.concatenate(x) for x in zip(*chosen))
         used = np.bincount(rule, minlength=n) >= least

@@ -27,6 +27,19 @@ def test_block_round_trip(seed):
         t.Block(payload[:-5] + b"x" + payload[-4:])
 
 
+def test_rounds_end_when_no_pair_is_frequent():
+    """Late rounds look at the ranked places alone; they end with the same rule: no pair occurs often."""
+    r = np.random.default_rng(3)
+    phrase = r.integers(0, 5000, (300, 12))
+    ids = np.concatenate([phrase[r.integers(0, 300, 900)].ravel(), r.integers(5000, 60_000, 9000)]).astype("<u4")
+    seq, left, right = t.grammar(ids, 60_000, 8)
+    a, b = seq[:-1].astype(np.int64), seq[1:].astype(np.int64)
+    pairs, count = np.unique((a << 24 | b)[t.alternate(a, b)], return_counts=True)
+    assert len(left) and count.max() < 8
+    payload, tokens, _ = t.encode_block([1], [ids.tobytes()], vocabulary=60_000)
+    assert (t.Block(payload).tokens(0, tokens) == ids).all()
+
+
 def test_written_and_read(spark):
     r = random.Random(5)
     texts = {i: " ".join(r.choice(["the", "of", "été", "zebra.", "x\n"]) for _ in range(r.choice([0, 1, 200, 3000]))) for i in r.sample(range(1000), 80)} | {2000: None, 2001: ""}
