@@ -116,3 +116,33 @@ def test_only_held_out(spark):
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     got = lm.scored(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).collect()
     assert [(x.held_out, x.n_tokens, x.n_known, x.train_tokens) for x in got] == [(True, 3, 0, 0)]
+
+
+def test_rare_words_have_restaurants(spark):
+    """Words far below 1/1000 of the tokens, each always followed by a word of its own."""
+    pairs = [(f"left{i}", f"right{i * 7 % 1500}") for i in range(1500)]
+    texts = [" ".join(w for p in pairs[i % 30 :: 30] for w in p) for i in range(90)]
+    held = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    learned = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(learned[i], t) for i, t in enumerate(texts)]
+    rows += [(held[0], " ".join(w for p in pairs[:50] for w in p)), (held[1], " ".join(w for i in range(50) for w in (pairs[i][0], pairs[i + 1][1])))]
+    got = {x.doc_id: x for x in lm.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[held[0]].score > got[held[1]].score + 50 and got[held[0]].base_score == pytest.approx(got[held[1]].base_score, abs=1e-6)
+
+
+def test_contexts_dealt_out_by_words(spark):
+    """Contexts with more tokens than an owner should have: their totals, the start's too, are those of one restaurant."""
+    df = spark.createDataFrame(rows_of(200), "doc_id long, text string").repartition(4)
+    one, dealt = ({x.doc_id: x.score for x in lm.scored(df, owner_tokens=n).collect()} for n in (4_000_000, 150))
+    assert one.keys() == dealt.keys() and sum(dealt.values()) == pytest.approx(sum(one.values()), rel=0.01)
+
+
+def test_chances_of_the_next_word_sum_to_one(spark):
+    """Single-word texts: what follows the start, over the words learned, leaves only what unseen words would get."""
+    learned = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, words[n % 12]) for n, i in enumerate(learned)]
+    texts = {words[n % 12]: i for n, i in enumerate(learned)}
+    for owner_tokens in (4_000_000, 20):
+        got = {x.doc_id: x.score for x in lm.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), owner_tokens=owner_tokens).collect()}
+        assert 0.8 < sum(10 ** got[i] for i in texts.values()) < 1
