@@ -8,6 +8,8 @@ up; what is new is cut into the word pattern's pieces, and each distinct piece g
 
 from __future__ import annotations
 
+import functools
+import gc
 import os
 import re
 from array import array
@@ -28,6 +30,22 @@ _SAME = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_ALPHABET = {b: chr(b) for b in _SAME} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SAME)}
 
 
+def uncollected(f):
+    """f without the search for cyclic garbage, of which it makes none; it would visit all that is remembered time and again."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return f(*args, **kwargs)
+        finally:
+            if on:
+                gc.enable()
+
+    return run
+
+
 class Remembered(dict):
     """Values by key in two generations: at `most` the young one becomes the old one, and what is met again returns."""
 
@@ -111,6 +129,7 @@ class ChunkedBPE:
                 found[w] = self.heads[w] = np.array(e.ids, "<u4").tobytes()
         return [found[w] for w in wanted]
 
+    @uncollected
     def encode(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []

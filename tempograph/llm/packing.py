@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tempograph.llm.bpe import default_path, shared_bpe
+from tempograph.llm.bpe import default_path, shared_bpe, uncollected
 from tempograph.llm.common import ids_and_text, small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -130,6 +130,7 @@ def with_tail_split(ends: list[int], window: int, inside: float, each: float) ->
     return out
 
 
+@uncollected
 def pack_segment(doc_ids: list, ids: list[bytes], ends_sentence: np.ndarray, window: int, sentence: float, inside: float, each: float, sequence: int) -> tuple[list[tuple], int]:
     """Rows of SCHEMA for whole documents, and the next free sequence number."""
     stream = b"".join(ids)

@@ -98,3 +98,24 @@ def test_every_sentence_end_is_a_boundary(monkeypatch):
     ids = np.tile([1, 1, 2], 40).astype("<u4")
     packing.pack_segment([7], [ids.tobytes()], flags, 64, 2.0, 8.0, 32.0, sequence=0)
     assert seen == [list(range(3, 121, 3))]
+
+
+def test_no_search_for_cycles_while_encoding():
+    import gc
+
+    from tempograph.llm.bpe import ChunkedBPE, default_path
+
+    bpe, seen = ChunkedBPE(default_path()), []
+    texts = [" ".join(f"w{i * 50 + j}x Größe{j}, {i}?" for j in range(50)) for i in range(300)]
+
+    def count(phase, info):
+        seen.append(phase)
+
+    gc.callbacks.append(count)
+    try:
+        found = bpe.encode(texts)
+        during = len(seen)
+    finally:
+        gc.callbacks.remove(count)
+    assert during == 0 and gc.isenabled()
+    assert found[::50] == [b"".join(x.to_bytes(4, "little") for x in bpe.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts[::50]]
